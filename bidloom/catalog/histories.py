@@ -14,7 +14,7 @@ from bidloom.session import cut_lineage
 
 def _log(spark, sf):
     acts = R.change_actions(spark, sf)
-    return acts, H.renames(acts)
+    return acts, H.read_names(acts)
 
 
 @query("h1_keyword_events", """
@@ -83,7 +83,7 @@ CHANGE_DAYS = "cd AS (SELECT campaign, day FROM change_days)"
 @query("h6_state_budget_status", f"""WITH {CHANGE_DAYS}, {HEADS}
 SELECT ord AS "order", day AS date, campaign, owner, tick, daily_budget, status, end_date FROM snaps""")
 def h6(spark, sf):
-    heads, _, _ = H.snapshot_heads(R.change_actions(spark, sf))
+    heads, _ = H.snapshot_heads(*_log(spark, sf))
     return heads.select("order", "date", "campaign", "owner", "tick", "daily_budget", "status", "end_date")
 
 
@@ -98,7 +98,7 @@ shown AS (SELECT h.owner, h.campaign, h.tick, w.negative, w.match_type, w.keywor
 @query("h6_state_keywords", f"""WITH {CHANGE_DAYS}, {HEADS}, {WORDS}
 SELECT campaign, tick, negative, CAST(count(*) AS BIGINT) AS n_keywords, string_agg(keyword, ';' ORDER BY keyword) AS keywords FROM shown GROUP BY ALL""")
 def h6k(spark, sf):
-    heads, spans, _ = H.snapshot_heads(R.change_actions(spark, sf))
+    heads, spans = H.snapshot_heads(*_log(spark, sf))
     rows = H.snapshot_members(heads, spans)
     return rows.groupBy("campaign", "tick", "negative").agg(
         F.count(F.lit(1)).alias("n_keywords"), F.array_join(F.array_sort(F.collect_list("keyword")), ";").alias("keywords"))
@@ -115,14 +115,14 @@ filled AS (SELECT h.*, coalesce(o.kw,
 @query("w9_fill_empty_sets", f"""WITH {CHANGE_DAYS}, {HEADS}, {WORDS}, {FILL}
 SELECT ord AS "order", campaign, tick, coalesce(unique_keywords, '') AS unique_keywords FROM filled""")
 def w9(spark, sf):
-    return H.campaign_snapshots(R.change_actions(spark, sf)).select("order", "campaign", "tick", "unique_keywords")
+    return H.campaign_snapshots(*_log(spark, sf)).select("order", "campaign", "tick", "unique_keywords")
 
 
 @query("h7_filled_snapshots", f"""WITH {CHANGE_DAYS}, {HEADS}, {WORDS}, {FILL}
 SELECT campaign, CAST(count(*) AS BIGINT) AS n_snapshots, CAST(count(*) FILTER (WHERE unique_keywords IS NULL) AS BIGINT) AS n_empty,
  CAST(sum(len(string_split(unique_keywords, '; '))) AS BIGINT) AS n_words FROM filled GROUP BY campaign""")
 def h7(spark, sf):
-    snaps = H.campaign_snapshots(R.change_actions(spark, sf))
+    snaps = H.campaign_snapshots(*_log(spark, sf))
     words = F.size(T.split_list("unique_keywords"))
     return snaps.groupBy("campaign").agg(
         F.count(F.lit(1)).alias("n_snapshots"), F.count_if(words == 0).alias("n_empty"), F.sum(words).cast("bigint").alias("n_words"))
@@ -156,9 +156,9 @@ cover AS (SELECT *, CAST(row_number() OVER (ORDER BY campaign, start_date) AS IN
 
 def _coverage(spark, sf):
     # the snapshots feed five joins: written once to the checkpoint folder
-    acts = R.change_actions(spark, sf)
-    snaps = cut_lineage(H.campaign_snapshots(acts))
-    return H.number_versions(H.coverage_summary(R.change_kw_index(spark, sf), acts, snaps))
+    acts, names = _log(spark, sf)
+    snaps = cut_lineage(H.campaign_snapshots(acts, names))
+    return H.number_versions(H.coverage_summary(R.change_kw_index(spark, sf), snaps, names))
 
 
 @query("h8_coverage_versions", f"""WITH {CHANGE_DAYS}, {HEADS}, {COVER}
@@ -169,11 +169,6 @@ def h8(spark, sf):
         "campaign_version", "campaign", "start_date", "end_date", "status", "change_type", "daily_budget", "raw_report_row_count", "unique_keywords")
 
 
-RUNS = """
-runs AS (SELECT *, sum(CASE WHEN change_type <> 'daily_budget' THEN 1 ELSE 0 END) OVER (PARTITION BY campaign ORDER BY start_date) AS run FROM (
-   SELECT *, CASE WHEN campaign_version % 3 = 0 THEN 'daily_budget' ELSE change_type END AS ct FROM cover) t)"""
-
-
 @query("w10_budget_runs", f"""WITH {CHANGE_DAYS}, {HEADS}, {COVER},
 flagged AS (SELECT *, CASE WHEN campaign_version % 3 <> 0 THEN change_type ELSE 'daily_budget' END AS ct FROM cover),
 runs AS (SELECT *, sum(CASE WHEN ct <> 'daily_budget' THEN 1 ELSE 0 END) OVER (PARTITION BY campaign ORDER BY start_date) AS run FROM flagged),

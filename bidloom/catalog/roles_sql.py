@@ -114,8 +114,8 @@ SELECT 'set_' || pool || '_' || (vec_id % 3) AS keyword_set_id,
   CASE WHEN vec_id % 5 = 0 THEN 'Broad' WHEN vec_id % 2 = 0 THEN 'Phrase' ELSE 'Exact' END AS match_type, keyword
 FROM vectors""",
     "keyword_vectors": """
-SELECT keyword, embedding FROM (SELECT lower(p_name) AS keyword, min(p_partkey) AS k FROM part GROUP BY 1)
-JOIN vectors ON vec_id = k""",
+SELECT n.keyword, v.embedding FROM (SELECT lower(p_name) AS keyword, min(p_partkey) AS k FROM part GROUP BY 1) n
+JOIN vectors v ON v.vec_id = n.k""",
     "kv_sims": """
 SELECT v.keyword, max(list_dot_product(v.embedding, a.embedding)) AS sim
 FROM keyword_vectors v, anchors a GROUP BY v.keyword""",
@@ -123,9 +123,9 @@ FROM keyword_vectors v, anchors a GROUP BY v.keyword""",
 SELECT *, {MICROS_END} - epoch_us(ts) AS ord, CAST(ts AS DATE) AS day, user_id % 12 AS slot,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id % 7 = 0 AS negative FROM events""",
     "renames": f"""
-SELECT {MICROS_END} - at AS ord, CAST(make_timestamp(at) AS DATE) AS day, 'Course - Search - ' || old AS previous_name,
+SELECT {MICROS_END} - moved AS ord, CAST(make_timestamp(moved) AS DATE) AS day, 'Course - Search - ' || old AS previous_name,
   'Course - Search - ' || new AS current_name
-FROM (SELECT lo + CAST(floor((hi - lo) * share / 10) AS BIGINT) AS at, old, new
+FROM (SELECT lo + CAST(floor((hi - lo) * share / 10) AS BIGINT) AS moved, old, new
   FROM (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
   (VALUES (5, 'c9', 'c8'), (6, 'c10', 'c11'), (8, 'c11', 'c0')) t(share, old, new))""",
     "named_ev": """

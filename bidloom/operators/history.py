@@ -8,6 +8,7 @@ event kinds follow the sequence keyword, negative keyword, budget, status.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import text as T
 from bidloom.functions.grouped import carry, first_per_key, following
 from bidloom.operators.joins import asof_backward, interval_join
+from bidloom.session import cut_lineage
 
 # Replay sequence of event kinds inside one order.
 KIND_SEQUENCE = {"keyword": 0, "negative_keyword": 1, "budget": 2, "status": 3}
@@ -53,7 +55,6 @@ def name_intervals(moves: DataFrame) -> DataFrame:
     replaces it by the previous name for all older rows; the chain is followed recursively.
     """
     spark = moves.sparkSession
-    step = moves.groupBy("current_name").agg(F.collect_list(F.struct("order", "previous_name")).alias("hops"))
     moves.select("current_name", "previous_name", "order").createOrReplaceTempView("_rename_hops")
     chain = spark.sql(
         """
@@ -65,27 +66,10 @@ def name_intervals(moves: DataFrame) -> DataFrame:
         ) SELECT campaign, newer, name FROM chain
         """
     )
-    del step
     ahead = Window.partitionBy("campaign").orderBy("newer")
     return chain.select("campaign", "newer", F.lead("newer").over(ahead).alias("older"), "name")
 
 
-def with_name_then(rows: DataFrame, moves: DataFrame, campaign: str = "campaign") -> DataFrame:
-    """Replace the logged campaign by the name that applied at the row's ``order``.
-
-    The rename table is a small dimension; Spark broadcasts it by its size.
-    """
-    spans = name_intervals(moves).select(F.col("campaign").alias("_logged"), "newer", "older", "name")
-    hit = (
-        (F.col(campaign) == F.col("_logged"))
-        & (F.col("order") > F.col("newer"))
-        & (F.col("older").isNull() | (F.col("order") <= F.col("older")))
-    )
-    return rows.join(spans, hit, "left").withColumn(campaign, F.coalesce("name", campaign)).drop(
-        "_logged", "newer", "older", "name"
-    )
-
-
 def canonical_names(moves: DataFrame) -> DataFrame:
     """(campaign, canonical): the latest name each renamed campaign ends up with."""
     spark = moves.sparkSession
@@ -101,8 +85,39 @@ def canonical_names(moves: DataFrame) -> DataFrame:
     )
 
 
-def with_canonical(rows: DataFrame, moves: DataFrame, campaign: str = "campaign", name: str = "owner") -> DataFrame:
-    latest = canonical_names(moves).select(F.col("campaign").alias("_c"), "canonical")
+@dataclass(frozen=True)
+class Names:
+    """Rename tables of one log: the renames, names by age, and latest names."""
+
+    moves: DataFrame
+    spans: DataFrame
+    latest: DataFrame
+
+
+def read_names(actions: DataFrame) -> Names:
+    """Resolve the renames once; the small tables are stored, as every event kind uses them."""
+    moves = cut_lineage(renames(actions))
+    return Names(moves, cut_lineage(name_intervals(moves)), cut_lineage(canonical_names(moves)))
+
+
+def with_name_then(rows: DataFrame, names: Names, campaign: str = "campaign") -> DataFrame:
+    """Replace the logged campaign by the name that applied at the row's ``order``.
+
+    The rename table is a small dimension; Spark broadcasts it by its size.
+    """
+    spans = names.spans.select(F.col("campaign").alias("_logged"), "newer", "older", "name")
+    hit = (
+        (F.col(campaign) == F.col("_logged"))
+        & (F.col("order") > F.col("newer"))
+        & (F.col("older").isNull() | (F.col("order") <= F.col("older")))
+    )
+    return rows.join(spans, hit, "left").withColumn(campaign, F.coalesce("name", campaign)).drop(
+        "_logged", "newer", "older", "name"
+    )
+
+
+def with_canonical(rows: DataFrame, names: Names, campaign: str = "campaign", name: str = "owner") -> DataFrame:
+    latest = names.latest.select(F.col("campaign").alias("_c"), "canonical")
     return rows.join(latest, F.col(campaign) == F.col("_c"), "left").withColumn(
         name, F.coalesce("canonical", campaign)
     ).drop("_c", "canonical")
@@ -118,10 +133,10 @@ def _detail_rows(actions: DataFrame) -> DataFrame:
     )
 
 
-def keyword_events(actions: DataFrame, moves: DataFrame, negative: bool = False) -> DataFrame:
+def keyword_events(actions: DataFrame, names: Names, negative: bool = False) -> DataFrame:
     """(order, date, campaign, keyword, match_type, action, pos) of keyword changes."""
     rows = _detail_rows(actions).withColumn("action", T.keyword_status("summary", negative)).filter("action IS NOT NULL")
-    rows = with_name_then(rows, moves).filter(T.is_search_campaign("campaign"))
+    rows = with_name_then(rows, names).filter(T.is_search_campaign("campaign"))
     parsed = rows.withColumn("k", T.keyword_detail("text")).filter(F.col("k.negative") == negative)
     return parsed.select(
         "order", "date", "campaign", F.col("k.keyword").alias("keyword"),
@@ -129,7 +144,7 @@ def keyword_events(actions: DataFrame, moves: DataFrame, negative: bool = False)
     )
 
 
-def budget_events(actions: DataFrame, moves: DataFrame) -> DataFrame:
+def budget_events(actions: DataFrame, names: Names) -> DataFrame:
     """(order, date, campaign, daily_budget, previous_budget, summary) of budget changes.
 
     A campaign named in the text is taken as it stands unless it is a prospecting campaign; the
@@ -141,7 +156,7 @@ def budget_events(actions: DataFrame, moves: DataFrame) -> DataFrame:
     then = with_name_then(
         rows.withColumn("campaign", F.when(F.col("_named") != "", F.col("_named")).otherwise(F.col("campaign")))
         .withColumn("_shown", F.col("campaign")),
-        moves,
+        names,
     )
     keep = (F.col("_named") != "") & ~F.col("_shown").contains("Prospecting")
     out = then.withColumn("campaign", F.when(keep, F.col("_shown")).otherwise(F.col("campaign")))
@@ -151,14 +166,14 @@ def budget_events(actions: DataFrame, moves: DataFrame) -> DataFrame:
     ).filter("daily_budget <> ''")
 
 
-def status_events(actions: DataFrame, moves: DataFrame) -> DataFrame:
+def status_events(actions: DataFrame, names: Names) -> DataFrame:
     """(order, date, campaign, status, summary) of campaigns enabled or paused."""
     low = F.lower("summary")
     rows = actions.filter(low.contains("campaign") & (low.contains("active") | low.contains("paused")))
     detail = F.lower("text")
     status = F.when(detail.contains("to active"), F.lit("active")).when(detail.contains("to paused"), F.lit("paused"))
     rows = _detail_rows(rows).filter(detail.contains("status changed")).withColumn("status", status).filter("status IS NOT NULL")
-    return with_name_then(rows, moves).filter(T.is_search_campaign("campaign")).select(
+    return with_name_then(rows, names).filter(T.is_search_campaign("campaign")).select(
         "order", "date", "campaign", "status", "summary"
     )
 
@@ -177,11 +192,11 @@ def describe_keyword_changes(events: DataFrame, negative: bool = False) -> DataF
     )
 
 
-def change_dates(actions: DataFrame, moves: DataFrame) -> DataFrame:
+def change_dates(actions: DataFrame, names: Names) -> DataFrame:
     """Distinct (campaign, date) with any change, under the names of the time."""
     named = F.array_distinct(F.concat(F.array("campaign"), F.col("details.campaign")))
     rows = actions.filter(F.col("date").isNotNull()).select("order", "date", F.explode(named).alias("campaign"))
-    return with_name_then(rows, moves).filter(T.is_search_campaign("campaign")).select("campaign", "date").distinct()
+    return with_name_then(rows, names).filter(T.is_search_campaign("campaign")).select("campaign", "date").distinct()
 
 
 def next_change_day(rows: DataFrame, days: DataFrame, keys: Sequence[str], date: str, name: str) -> DataFrame:
@@ -200,14 +215,14 @@ def next_change_day(rows: DataFrame, days: DataFrame, keys: Sequence[str], date:
 # --- snapshots -----------------------------------------------------------------------------
 
 
-def _stream(actions: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stream(actions: DataFrame, names: Names) -> tuple[DataFrame, DataFrame]:
     """(snapshot heads, keyword events of both signs), each with campaign owner and tick.
 
     State follows a campaign through its renames, so it is kept per owner, the latest name.
     """
     heads, words = None, None
     for negative, kind in ((False, "keyword"), (True, "negative_keyword")):
-        events = keyword_events(actions, moves, negative)
+        events = keyword_events(actions, names, negative)
         ticked = events.withColumns({"negative": F.lit(negative), "tick": tick_of(F.col("order"), kind)})
         words = ticked if words is None else words.unionByName(ticked)
         head = describe_keyword_changes(events, negative).select(
@@ -216,19 +231,19 @@ def _stream(actions: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]
             F.lit(None).cast("string").alias("previous_budget"),
         )
         heads = head if heads is None else heads.unionByName(head)
-    budgets = budget_events(actions, moves).select(
+    budgets = budget_events(actions, names).select(
         "order", "date", "campaign", tick_of(F.col("order"), "budget").alias("tick"), F.lit("daily_budget").alias("change_type"),
         F.col("summary").alias("change_summary"), F.col("daily_budget").alias("set_budget"),
         F.lit(None).cast("string").alias("set_status"), "previous_budget",
     )
-    statuses = status_events(actions, moves).select(
+    statuses = status_events(actions, names).select(
         "order", "date", "campaign", tick_of(F.col("order"), "status").alias("tick"),
         F.concat(F.lit("campaign_"), "status").alias("change_type"), F.col("summary").alias("change_summary"),
         F.lit(None).cast("string").alias("set_budget"), F.col("status").alias("set_status"),
         F.lit(None).cast("string").alias("previous_budget"),
     )
     heads = heads.unionByName(budgets).unionByName(statuses)
-    return with_canonical(heads, moves), with_canonical(words, moves)
+    return with_canonical(heads, names), with_canonical(words, names)
 
 
 def keyword_spans(events: DataFrame) -> DataFrame:
@@ -243,22 +258,22 @@ def keyword_spans(events: DataFrame) -> DataFrame:
     return last.select(*key, F.col("tick").alias("from_tick"), end.alias("to_tick"))
 
 
-def snapshot_heads(actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(snapshots without keyword lists, keyword spans, renames).
+def snapshot_heads(actions: DataFrame, names: Names) -> tuple[DataFrame, DataFrame]:
+    """(snapshots without keyword lists, keyword spans).
 
     Budget and status are the latest values of the owner at the snapshot; the end date is the next
     snapshot of the same name, else its rename date, else its next change day.
     """
-    moves = renames(actions)
-    heads, words = _stream(actions, moves)
+    # stored once: the as-of, next-row and next-change steps below each read the stream again
+    heads, words = (cut_lineage(df) for df in _stream(actions, names))
     state = carry(heads, ["owner"], "date", ["tick"], {"daily_budget": "set_budget", "status": "set_status"})
     # display order inside a day is newest first, that is by growing order
     shown = state.withColumn("_seq", F.pmod("tick", F.lit(KINDS)))
     shown = following(shown, ["campaign"], "date", ["order", "_seq"], "date", "_next")
-    left = moves.groupBy(F.col("previous_name").alias("campaign")).agg(F.max_by("date", F.struct(-F.col("order"))).alias("_renamed"))
-    shown = next_change_day(shown.join(left, "campaign", "left"), change_dates(actions, moves), ["campaign"], "date", "_change")
-    out = shown.withColumn("end_date", F.coalesce("_next", "_renamed", "_change")).drop("_next", "_renamed", "_change", "_seq")
-    return out, keyword_spans(words), moves
+    left = names.moves.groupBy(F.col("previous_name").alias("campaign")).agg(F.max_by("date", F.struct(-F.col("order"))).alias("_renamed"))
+    shown = next_change_day(shown.join(left, "campaign", "left"), change_dates(actions, names), ["campaign"], "date", "_change")
+    out = shown.withColumn("end_date", F.coalesce("_next", "_renamed", "_change"))
+    return out.drop("_next", "_renamed", "_change", "_seq", "set_budget", "set_status"), keyword_spans(words)
 
 
 def snapshot_members(heads: DataFrame, spans: DataFrame) -> DataFrame:
@@ -272,14 +287,15 @@ def snapshot_members(heads: DataFrame, spans: DataFrame) -> DataFrame:
     return s.join(spans, "owner").filter(inside).select("owner", "campaign", "tick", "negative", "match_type", "keyword")
 
 
-def fill_empty_sets(heads: DataFrame, member_rows: DataFrame) -> DataFrame:
-    """Snapshots with ``donor``: the tick whose positive words the snapshot shows.
+def fill_empty_sets(heads: DataFrame, filled: DataFrame) -> DataFrame:
+    """Snapshots with ``donor``: the snapshot whose positive words this one shows.
 
-    A snapshot without words borrows from the next snapshot of its owner that has some, in display
-    order, and otherwise from the previous one. Only ticks are carried, never lists.
+    ``filled`` lists the (owner, campaign, tick) that have words of their own. A snapshot without
+    words borrows from the next filled snapshot of its owner in display order, and otherwise from
+    the previous one. Only snapshot keys are carried, never lists.
     """
-    filled = member_rows.filter("NOT negative").select("owner", "campaign", "tick").distinct().withColumn("_own", F.struct("tick", "campaign"))
-    rows = heads.join(filled, ["owner", "campaign", "tick"], "left").withColumn("_seq", F.pmod("tick", F.lit(KINDS)))
+    own = filled.withColumn("_own", F.struct("tick", "campaign"))
+    rows = heads.join(own, ["owner", "campaign", "tick"], "left").withColumn("_seq", F.pmod("tick", F.lit(KINDS)))
     order = ["order", "campaign", "_seq"]
     rows = carry(rows, ["owner"], "date", order, {"_later": "_own"}, backward=True)
     rows = carry(rows, ["owner"], "date", order, {"_earlier": "_own"})
@@ -326,21 +342,27 @@ def with_list_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def campaign_snapshots(actions: DataFrame) -> DataFrame:
-    """Campaign state after every budget, status or keyword change, with keyword lists."""
-    heads, spans, _ = snapshot_heads(actions)
-    rows = snapshot_members(heads, spans)
-    donors = fill_empty_sets(heads, rows)
-    lent = rows.filter("NOT negative").select(
-        "owner", F.col("campaign").alias("_dc"), F.col("tick").alias("_dt"), "negative", "match_type", "keyword"
+def campaign_snapshots(actions: DataFrame, names: Names | None = None) -> DataFrame:
+    """Campaign state after every budget, status or keyword change, with keyword lists.
+
+    Heads are stored with their state, since the fill and the list joins read them again.
+    """
+    names = names or read_names(actions)
+    heads, spans = snapshot_heads(actions, names)
+    heads = cut_lineage(heads)
+    positive, negative = spans.filter("NOT negative"), spans.filter("negative")
+    filled = snapshot_members(heads, positive).select("owner", "campaign", "tick").distinct()
+    donors = cut_lineage(fill_empty_sets(heads, filled))
+    lenders = donors.filter("donor IS NOT NULL").select(
+        "owner", "campaign", F.col("tick").alias("_at"), F.col("donor.tick").alias("tick")
+    )
+    inside = (F.col("tick") >= F.col("from_tick")) & (F.col("to_tick").isNull() | (F.col("tick") < F.col("to_tick")))
+    lent = lenders.join(positive, "owner").filter(inside).select(
+        "owner", "campaign", F.col("_at").alias("tick"), "negative", "match_type", "keyword"
     )
-    positive = donors.filter(F.col("donor").isNotNull()).select(
-        "owner", "campaign", "tick", F.col("donor.tick").alias("_dt"), F.col("donor.campaign").alias("_dc")
-    ).join(lent, ["owner", "_dt", "_dc"]).drop("_dt", "_dc")
-    shown = positive.unionByName(rows.filter("negative"))
-    lists = _lists(shown, ["owner", "campaign", "tick"])
+    lists = _lists(lent.unionByName(snapshot_members(heads, negative)), ["owner", "campaign", "tick"])
     out = donors.drop("donor").join(lists, ["owner", "campaign", "tick"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in LIST_FIELDS}).drop("set_budget", "set_status")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in LIST_FIELDS})
 
 
 # --- coverage intervals and set ids --------------------------------------------------------
@@ -372,10 +394,10 @@ def window_words(words: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def coverage_windows(index: DataFrame, snapshots: DataFrame, moves: DataFrame) -> DataFrame:
+def coverage_windows(index: DataFrame, snapshots: DataFrame, names: Names) -> DataFrame:
     """(campaign, owner, start_date, end_date, is_last): the observed span cut at change days."""
     span = index.groupBy("campaign").agg(F.min("date").alias("first"), F.date_add(F.max("date"), 1).alias("stop"))
-    span = with_canonical(span.filter(T.is_report_campaign("campaign")), moves)
+    span = with_canonical(span.filter(T.is_report_campaign("campaign")), names)
     cuts = snapshots.select("owner", F.col("date").alias("start_date")).distinct()
     inner = span.join(cuts, "owner").filter((F.col("start_date") > F.col("first")) & (F.col("start_date") < F.col("stop")))
     starts = span.withColumn("start_date", F.col("first")).unionByName(inner)
@@ -398,15 +420,14 @@ def inferred_budget(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
     return found.groupBy("campaign", "start_date").agg(F.min_by("_previous", "_day").alias("inferred_budget"))
 
 
-def coverage_summary(report_index: DataFrame, actions: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+def coverage_summary(report_index: DataFrame, snapshots: DataFrame, names: Names) -> DataFrame:
     """Campaign versions from report coverage with the change-log state attached.
 
     Empty windows and windows without a known budget are left out.
     """
-    snaps = campaign_snapshots(actions) if snapshots is None else snapshots
-    moves = renames(actions)
+    snaps = snapshots
     words = daily_words(report_index)
-    windows = coverage_windows(words, snaps, moves)
+    windows = coverage_windows(words, snaps, names)
     observed = window_words(words, windows.drop("owner", "is_last"))
     rows = windows.join(observed, ["campaign", "start_date"])
     state_cols = ["status", "change_summary", "daily_budget", "negative_broad_keywords", "negative_phrase_keywords",
