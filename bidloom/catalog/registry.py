@@ -35,4 +35,4 @@ def load() -> None:
         importlib.import_module(f"bidloom.catalog.{section}")
 
 
-SECTIONS: list[str] = ["reports", "texts", "histories", "selections", "planning_scores"]
+SECTIONS: list[str] = ["reports", "texts", "histories", "selections", "planning_scores", "models_streams"]

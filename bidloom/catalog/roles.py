@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
 from bidloom.operators import panel as P
+from bidloom.session import cut_lineage
 
 # Start dates named by the calendar queries.
 STARTS = (
@@ -87,7 +88,8 @@ def campaign_summary(spark: SparkSession, sf: str) -> DataFrame:
     ends = base.withColumn("end_date", F.lead("start_date").over(Window.partitionBy("r_name").orderBy("start_date")))
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(mt).alias("mt"), F.lit(cfg).alias("cfg")) for k, mt, cfg in
                       ((0, "Broad", "Broad"), (1, "Phrase", "Phrase; Exact"), (2, "Exact", "Exact"))])
-    return ends.withColumn("x", F.explode(kinds)).select(
+    # a stored dimension, as in production: several joins read it
+    return cut_lineage(ends.withColumn("x", F.explode(kinds)).select(
         (F.col("r_regionkey") * 10000 + q * 10 + F.col("x.k")).cast("bigint").alias("campaign_version"),
         F.concat(F.lit("Brand#"), (1 + (q * 3 + F.col("x.k") + F.col("r_regionkey") * 7) % 25).cast("string")).alias("keyword_set_id"),
         F.concat(F.lit("Course - Run 1 - Search - "), label, F.lit(" - "), F.col("x.mt")).alias("campaign"),
@@ -95,11 +97,12 @@ def campaign_summary(spark: SparkSession, sf: str) -> DataFrame:
         "end_date",
         F.round(F.col("_budget") + 10 * F.col("x.k"), 2).alias("daily_budget"),
         F.col("x.cfg").alias("match_types"),
-    )
+    ))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return P.campaign_day_panel(kw_day(spark, sf), campaign_summary(spark, sf))
+    """The stored campaign-day panel; later steps read it, never the report again."""
+    return cut_lineage(P.campaign_day_panel(kw_day(spark, sf), campaign_summary(spark, sf)))
 
 
 def segment_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,9 +171,10 @@ def allowlist_raw(spark: SparkSession, sf: str) -> DataFrame:
         line.groupBy("l_partkey").count().join(part, F.col("l_partkey") == part.p_partkey)
         .groupBy("p_name").agg(F.sum("count").alias("enrollments"))
     )
-    return names.join(lines, "p_name", "left").select(
+    # stored, like the uploaded list it stands for
+    return cut_lineage(names.join(lines, "p_name", "left").select(
         F.upper("p_name").alias("keyword"), F.coalesce("enrollments", F.lit(0)).alias("enrollments"), "row_no"
-    )
+    ))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,8 +25,8 @@ def value_bucket(c: Column) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum of report amounts (at most six decimals), the same in any task order."""
-    return F.sum(c.cast("decimal(30,6)")).cast("double")
+    """Sum of report amounts (at most six decimals) in whole millionths, the same in any task order."""
+    return F.sum(F.rint(c * 1000000).cast("bigint")) / F.lit(1000000.0)
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], score: str, name: str, descending: bool = True) -> DataFrame:

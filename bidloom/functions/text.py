@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 # White space as Unicode defines it, list separators, match types in display order.
 SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE_CHARS = (
+    "".join(chr(i) for i in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680])
+    + "".join(chr(i) for i in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+KEYWORD_MARKS = "'\"+[]"
 LIST_SEPARATOR = r"[;\n]"
 LIST_JOINER = "; "
 MATCH_TYPES = ("Broad", "Phrase", "Exact")
@@ -22,13 +27,23 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Trim any white space at both ends."""
-    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Trim any white space at both ends.
+
+    Blanks are trimmed first; the slower character-set trim runs only when an end is not a plain
+    printable character.
+    """
+    plain = F.trim(col(c))
+    visible = F.ascii(plain).between(33, 126) & F.ascii(F.right(plain, F.lit(1))).between(33, 126)
+    return F.when(visible, plain).otherwise(F.btrim(col(c), F.lit(SPACE_CHARS)))
 
 
-def squeeze(c: str | Column) -> Column:
-    """Collapse runs of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(col(c), f"[{SPACE}]+", " "))
+def squeeze(c: str | Column, drop: str = "") -> Column:
+    """Remove the ``drop`` characters, collapse runs of white space to one blank and trim.
+
+    One character map does the removal and turns every white space into a blank.
+    """
+    blanks = F.translate(col(c), SPACE_CHARS + drop, " " * len(SPACE_CHARS))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def clean_keyword(c: str | Column, strict: bool = False) -> Column:
@@ -37,7 +52,7 @@ def clean_keyword(c: str | Column, strict: bool = False) -> Column:
     A missing value becomes ``''``; with ``strict`` an empty or non-alphanumeric
     keyword becomes NULL.
     """
-    text = F.lower(squeeze(F.regexp_replace(col(c), "['\"+\\[\\]]", "")))
+    text = F.lower(squeeze(c, drop=KEYWORD_MARKS))
     if strict:
         return F.when(text.rlike(r"^[a-z0-9 ]+\z"), text)
     return F.coalesce(text, F.lit(""))
@@ -45,7 +60,8 @@ def clean_keyword(c: str | Column, strict: bool = False) -> Column:
 
 def clean_campaign(c: str | Column) -> Column:
     """Campaign name without ``[...]`` notes."""
-    return strip(F.regexp_replace(col(c), r"\[.*?\]", ""))
+    name = col(c)
+    return strip(F.when(name.contains("["), F.regexp_replace(name, r"\[.*?\]", "")).otherwise(name))
 
 
 def region_of_campaign(c: str | Column) -> Column:
@@ -53,10 +69,13 @@ def region_of_campaign(c: str | Column) -> Column:
 
     A part holding ``US`` means USA; a part that is A, B or C, or starts with that letter
     followed by a blank, slash or bracket, means that letter. One leftmost regex match
-    visits the parts in order.
+    visits the parts in order; names without ``US`` take the shorter pattern.
     """
-    part = r"(?:^|-)\s*([^-]*US[^-]*|[ABC](?=[ /(]|\s*(?:-|\z)))"
-    hit = F.regexp_extract(col(c), part, 1)
+    name = col(c)
+    letter = r"[ABC](?=[ /(]|\s*(?:-|\z))"
+    either = F.regexp_extract(name, rf"(?:^|-)\s*([^-]*US[^-]*|{letter})", 1)
+    short = F.regexp_extract(name, rf"(?:^|-)\s*({letter})", 1)
+    hit = F.when(name.contains("US"), either).otherwise(short)
     return F.when(hit.contains("US"), F.lit("USA")).when(hit != "", hit)
 
 
@@ -68,7 +87,9 @@ def title_case(c: str | Column) -> Column:
 
 def clean_match_type(c: str | Column) -> Column:
     """``EXACT_MATCH`` style enum text to title case."""
-    return strip(title_case(F.replace(col(c), F.lit("_"), F.lit(" "))))
+    words = F.replace(col(c), F.lit("_"), F.lit(" "))
+    # letters and blanks need no letter-by-letter casing
+    return strip(F.when(words.rlike("^[A-Za-z ]*$"), F.initcap(words)).otherwise(title_case(words)))
 
 
 def to_double(c: str | Column) -> Column:

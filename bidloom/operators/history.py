@@ -553,3 +553,23 @@ def enrich_with_report(summary: DataFrame, index: DataFrame) -> DataFrame:
 def final_per_day(rows: DataFrame) -> DataFrame:
     """The final value per (date, campaign): the newest row of the day."""
     return first_per_key(rows, ["date", "campaign"], ["order"])
+
+
+def state_events(actions: DataFrame, names: Names) -> DataFrame:
+    """Budget, status and keyword changes as one narrow event stream per owner."""
+    nothing = {c: F.lit(None).cast(t) for c, t in (
+        ("set_budget", "string"), ("set_status", "string"), ("negative", "boolean"),
+        ("match_type", "string"), ("keyword", "string"), ("action", "string"))}
+    columns = ["tick", "date", "owner", *nothing]
+
+    def shape(df: DataFrame, kind: str, **values: Column) -> DataFrame:
+        rows = with_canonical(df, names).withColumn("tick", tick_of(F.col("order"), kind))
+        return rows.withColumns({**nothing, **values}).select(*columns)
+
+    out = None
+    for negative, kind in ((False, "keyword"), (True, "negative_keyword")):
+        words = keyword_events(actions, names, negative)
+        part = shape(words, kind, negative=F.lit(negative), match_type=F.col("match_type"), keyword=F.col("keyword"), action=F.col("action"))
+        out = part if out is None else out.unionByName(part)
+    budgets = shape(budget_events(actions, names), "budget", set_budget=F.col("daily_budget"))
+    return out.unionByName(budgets).unionByName(shape(status_events(actions, names), "status", set_status=F.col("status")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import text as T
 from bidloom.functions.grouped import exact_sum
 from bidloom.operators.joins import guard_all_matched, interval_join
+from bidloom.session import cut_lineage
 
 # Column order of the clean keyword-day report and its required input columns.
 REPORT_COLUMNS = (
@@ -118,8 +119,13 @@ def attach_versions(days: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def campaign_day_panel(report: DataFrame, summary: DataFrame) -> DataFrame:
-    """The modelling panel: active campaign-days joined to their budget versions, rounded."""
-    return attach_versions(campaign_days(report), summary).select(
+    """The modelling panel: active campaign-days joined to their budget versions, rounded.
+
+    The campaign-days are stored first. They are a tiny share of the report, and the version join
+    reads them twice (for the last month and for the rows), so the report itself is scanned once.
+    """
+    days = cut_lineage(campaign_days(report))
+    return attach_versions(days, summary).select(
         "date",
         "campaign_version",
         "region",

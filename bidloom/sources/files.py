@@ -182,7 +182,7 @@ def payload_actions(pages: DataFrame, key: str, html: str = "html") -> DataFrame
             F.coalesce(F.col("a.`5`"), F.array().cast("array<struct<`1`:array<string>,`2`:struct<`3`:string>>>")),
             lambda d: F.transform(
                 F.filter(
-                    F.transform(F.coalesce(d["1"], F.array().cast("array<string>")), T.squeeze),
+                    F.transform(F.coalesce(d["1"], F.array().cast("array<string>")), lambda t: T.squeeze(t)),
                     lambda t: t != "",
                 ),
                 lambda t: F.struct(
