@@ -27,14 +27,8 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Trim any white space at both ends.
-
-    Blanks are trimmed first; the slower character-set trim runs only when an end is not a plain
-    printable character.
-    """
-    plain = F.trim(col(c))
-    visible = F.ascii(plain).between(33, 126) & F.ascii(F.right(plain, F.lit(1))).between(33, 126)
-    return F.when(visible, plain).otherwise(F.btrim(col(c), F.lit(SPACE_CHARS)))
+    """Trim any white space at both ends."""
+    return F.btrim(col(c), F.lit(SPACE_CHARS))
 
 
 def squeeze(c: str | Column, drop: str = "") -> Column:
@@ -60,8 +54,7 @@ def clean_keyword(c: str | Column, strict: bool = False) -> Column:
 
 def clean_campaign(c: str | Column) -> Column:
     """Campaign name without ``[...]`` notes."""
-    name = col(c)
-    return strip(F.when(name.contains("["), F.regexp_replace(name, r"\[.*?\]", "")).otherwise(name))
+    return strip(F.regexp_replace(col(c), r"\[.*?\]", ""))
 
 
 def region_of_campaign(c: str | Column) -> Column:

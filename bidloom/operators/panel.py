@@ -39,12 +39,13 @@ def clean_report(raw: DataFrame) -> DataFrame:
         "first_page_cpc": F.lit(None).cast("double"),
     }
     df = raw.withColumns({c: v for c, v in optional.items() if c not in raw.columns})
-    campaign = T.clean_campaign("campaign")
+    # cleaned first in its own projection: the region reads it several times
+    df = df.withColumn("campaign", T.clean_campaign("campaign"))
     return df.select(
         F.col("date").try_cast("date").alias("date"),
-        T.region_of_campaign(campaign).alias("region"),
+        T.region_of_campaign("campaign").alias("region"),
         T.clean_keyword("keyword").alias("keyword"),
-        campaign.alias("campaign"),
+        "campaign",
         T.clean_match_type("match_type").alias("match_type"),
         F.coalesce(T.to_long("clicks"), F.lit(0).cast("bigint")).alias("clicks"),
         T.to_double("cost").alias("cost"),

@@ -108,7 +108,9 @@ def read_planner_export(spark: SparkSession, folder: str, pattern: str = "Saved
     if path is None:
         return None
     for encoding in ("UTF-8", "UTF-16"):
-        df = spark.read.option("header", True).option("sep", "\t").option("encoding", encoding).csv(path)
+        # multi-line parsing decodes the whole file, which two-byte encodings need
+        reader = spark.read.option("header", True).option("sep", "\t").option("encoding", encoding)
+        df = reader.option("multiLine", encoding != "UTF-8").csv(path)
         df = df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
         if KEYWORD_LABEL in df.columns:
             return df.withColumn("row_no", F.monotonically_increasing_id())
