@@ -34,9 +34,13 @@ def segment_pools(segments: DataFrame) -> DataFrame:
 
 
 def pool_keywords(report: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """Distinct allowed keywords per (region, match type), from every campaign of the region."""
-    seen = report.filter(F.col("region").isNotNull() & (F.coalesce("keyword", F.lit("")) != ""))
-    return seen.select(*POOL, "keyword").distinct().join(allowlist.select("keyword"), "keyword", "left_semi").select(*POOL, "keyword")
+    """Distinct allowed keywords per (region, match type), from every campaign of the region.
+
+    The region test is on the grouped rows: as a row filter on a freshly cleaned report it would be
+    pushed below the joins and run the cleaning expressions again.
+    """
+    seen = report.groupBy(*POOL, "keyword").agg(F.count("region").alias("_known")).filter("_known > 0")
+    return seen.join(allowlist.select("keyword"), "keyword", "left_semi").select(*POOL, "keyword")
 
 
 def rank_sum(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
@@ -49,11 +53,11 @@ def rank_sum(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 def performance_scores(
     report: DataFrame, allowlist: DataFrame, volume: str = "all_conv", positive_only: bool = True
 ) -> DataFrame:
-    """Volume, cost and efficiency per pool keyword."""
-    rows = report.filter(F.col("region").isNotNull() & (F.coalesce("keyword", F.lit("")) != ""))
-    totals = rows.groupBy(*POOL, "keyword").agg(
-        exact_sum(F.col(volume)).alias("volume"), F.coalesce(exact_sum(F.col("cost")), F.lit(0.0)).alias("cost")
-    )
+    """Volume, cost and efficiency per pool keyword; empty keywords are never on the allowlist."""
+    totals = report.groupBy(*POOL, "keyword").agg(
+        exact_sum(F.col(volume)).alias("volume"), F.coalesce(exact_sum(F.col("cost")), F.lit(0.0)).alias("cost"),
+        F.count("region").alias("_known"),
+    ).filter("_known > 0").drop("_known")
     if positive_only:
         totals = totals.filter("volume > 0")
     totals = totals.join(allowlist.select("keyword"), "keyword", "left_semi")
