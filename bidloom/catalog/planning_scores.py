@@ -265,12 +265,12 @@ def o8(spark, sf):
 
 
 @query("o9_prediction_check", f"""WITH {DAYPLAN}, lo AS (SELECT segment, min(daily_budget) + 20 AS lo FROM sc GROUP BY 1)
-SELECT date, segment, CASE WHEN round(daily_budget, 2) + 0.01 < lo THEN 0 ELSE round(milp_pred * 1.01, 6) END AS external_model_pred,
- abs(milp_pred - CASE WHEN round(daily_budget, 2) + 0.01 < lo THEN 0 ELSE round(milp_pred * 1.01, 6) END) <= 0.05 AS within_tol FROM dp JOIN lo USING (segment)""")
+SELECT date, segment, CASE WHEN round(daily_budget, 2) + 0.01 < lo THEN 0 ELSE round(milp_pred * 1.01, 8) END AS external_model_pred,
+ abs(milp_pred - CASE WHEN round(daily_budget, 2) + 0.01 < lo THEN 0 ELSE round(milp_pred * 1.01, 8) END) <= 0.05 AS within_tol FROM dp JOIN lo USING (segment)""")
 def o9(spark, sf):
     rows = scoped(spark, sf)
     plan = day_plan(rows)
-    predicted = plan.select("date", "segment", F.round(F.col("milp_pred") * 1.01, 6).alias("raw_level"))
+    predicted = plan.select("date", "segment", F.round(F.col("milp_pred") * 1.01, 8).alias("raw_level"))
     low = rows.groupBy("segment").agg((F.min("daily_budget") + 20).alias("min_budget"))
     return O.plan_prediction_check(plan, predicted, low, 0.05).select("date", "segment", "external_model_pred", "within_tol")
 
