@@ -5,7 +5,7 @@ no pairs. Signatures of 48 bands of six rows give candidates: sets of similarity
 bytes of a candidate pair are compared in batches; after each the pair is dropped when the posterior chance of reaching the threshold,
 from a uniform prior, is below ``MISS``. Survivors are compared on their full sets.
 
-Members of a band's bucket are first compared with its least and greatest member only, best shared pair first. Buckets whose
+Members of a band's bucket are first compared with its least and greatest member and one drawn by a hash, best shared pair first. Buckets whose
 members then all belong to one component have nothing left to find; in the others every pair of members of different components is
 compared. So a large group of near copies costs a number of pairs in proportion to its members, and no link that could join two
 components is left out.
@@ -18,6 +18,7 @@ sets only. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,11 +174,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "sig", "bands")).alias("r")
     reps = stored(sigs.filter("n > 0").groupBy("set_id").agg(least).select("set_id", "r.doc_id", "r.n", "r.sig", "r.bands"), "classes")
     banded = reps.select("set_id", F.explode("bands").alias("key"))
-    ends = banded.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high")
+    drawn = F.min_by("set_id", F.xxhash64("key", "set_id")).alias("drawn")
+    ends = banded.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), drawn).filter("low <> high")
     members = stored(banded.join(ends, "key"), "buckets")
 
-    starred = members.filter("set_id <> low").select("set_id", F.col("low").alias("center"))
-    starred = starred.unionAll(members.filter("set_id <> high").select("set_id", F.col("high").alias("center")))
+    starred = reduce(DataFrame.unionAll, [members.filter(f"set_id <> {c}").select("set_id", F.col(c).alias("center")) for c in ("low", "high", "drawn")])
     stars = stored(starred.select(F.col("set_id").alias("a"), F.col("center").alias("b")).groupBy("a", "b").count(), "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b"))
 
@@ -196,9 +197,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
     links = connected_edges(roots).unionAll(checked(apart(stars, roots), "star"))
     roots = connected(links)
 
-    rooted = members.join(roots, members["set_id"] == roots["node"], "left").select("key", "set_id", "low", "high", F.coalesce("root", "set_id").alias("root"))
+    rooted = members.join(roots, members["set_id"] == roots["node"], "left").select("key", "set_id", "low", "high", "drawn", F.coalesce("root", "set_id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    left = stored(rooted.filter("set_id <> low and set_id <> high").join(mixed, "key").select("key", "set_id", "root"), "left-over")
+    left = stored(rooted.filter("set_id not in (low, high, drawn)").join(mixed, "key").select("key", "set_id", "root"), "left-over")
     other = left.select("key", F.col("set_id").alias("b"), F.col("root").alias("root_b"))
     rest = left.withColumnRenamed("set_id", "a").join(other, "key").filter("a < b and root <> root_b").select("a", "b").distinct()
     links = connected_edges(roots).unionAll(checked(rest, "rest"))
