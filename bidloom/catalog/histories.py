@@ -184,7 +184,7 @@ def w10(spark, sf):
 @query("h10_set_ids", """
 WITH v AS (SELECT campaign_version, keyword_set_id AS b, broad_keywords, phrase_keywords FROM campaign_summary JOIN sets_wide USING (keyword_set_id)),
 f AS (SELECT b, min(campaign_version) AS f FROM v GROUP BY b), n AS (SELECT b, row_number() OVER (ORDER BY f) AS n FROM f)
-SELECT v.campaign_version, 'ks_' || lpad(CAST(n AS VARCHAR), 4, '0') AS keyword_set_id, u.used AS used_by FROM v JOIN n USING (b)
+SELECT v.campaign_version, printf('ks_%04d', n) AS keyword_set_id, u.used AS used_by FROM v JOIN n USING (b)
 JOIN (SELECT b, string_agg(campaign_version, '; ' ORDER BY campaign_version) AS used FROM v GROUP BY b) u USING (b)""")
 def h10(spark, sf):
     keyed, sets = H.assign_set_ids(_versions(spark, sf))

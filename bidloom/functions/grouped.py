@@ -9,6 +9,7 @@ number of buckets per group is bounded by the value grid or by the calendar, nev
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +30,24 @@ def exact_sum(c: Column) -> Column:
     return F.sum(F.rint(c * 1000000).cast("bigint")) / F.lit(1000000.0)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which NULL meets NULL; the keys stay once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_rank(df: DataFrame, keys: Sequence[str], score: str, name: str, descending: bool = True) -> DataFrame:
     """Add the minimum-method rank (1 = best) of ``score`` within ``keys``.
 
     Equal scores are first counted together, so ties cost one row. The rank of a score is one plus
-    the rows in better buckets plus the rows with better scores in its own bucket.
+    the rows in better buckets plus the rows with better scores in its own bucket. NULL keys form a
+    group; a NULL score has no rank.
     """
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     tally = (
-        df.groupBy(*keys, score)
+        df.filter(F.col(score).isNotNull())
+        .groupBy(*keys, score)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", value_bucket(F.col(score)))
     )
@@ -51,11 +61,10 @@ def with_rank(df: DataFrame, keys: Sequence[str], score: str, name: str, descend
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    ranks = tally.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        offsets, [*keys, "_bucket"]
-    )
+    placed = tally.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    ranks = join_null_safe(placed, offsets, [*keys, "_bucket"])
     ranks = ranks.select(*keys, score, (F.col("_before") + F.col("_inside") + 1).cast("int").alias(name))
-    return df.join(ranks, [*keys, score])
+    return join_null_safe(df, ranks, [*keys, score], "left")
 
 
 def percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
@@ -85,7 +94,7 @@ def percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: s
     )
     place = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     counted = (
-        rows.join(wanted, [*keys, "_bucket"])
+        join_null_safe(rows, wanted, [*keys, "_bucket"])
         .groupBy(*keys, "_bucket", "_start", "_lo", "_hi", "_share", value)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_place", place)
@@ -113,6 +122,7 @@ def carry(
     """As-of value: for each ``new -> source`` the nearest non-NULL ``source`` at or before the row.
 
     Rows are ordered by (day, order). With ``backward`` the nearest at or after the row is taken.
+    NULL keys form a group; rows without a day stand before all days.
     """
     direction = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
     here = (
@@ -132,7 +142,7 @@ def carry(
     local = df.withColumns(
         {f"_here_{new}": F.last(F.col(src), ignorenulls=True).over(here) for new, src in values.items()}
     )
-    out = local.join(daily, [*keys, day])
+    out = join_null_safe(local, daily, [*keys, day])
     out = out.withColumns({new: F.coalesce(f"_here_{new}", f"_past_{new}") for new in values})
     return out.drop(*[f"_here_{new}" for new in values], *[f"_past_{new}" for new in values])
 
@@ -140,7 +150,10 @@ def carry(
 def following(
     df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], source: str, name: str
 ) -> DataFrame:
-    """``source`` of the next row of the group in (day, order); NULL for the last row."""
+    """``source`` of the next row of the group in (day, order); NULL for the last row.
+
+    NULL keys form a group; rows without a day stand before all days.
+    """
     here = Window.partitionBy(*keys, day).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(day)
     first = (
@@ -149,10 +162,9 @@ def following(
         .withColumn("_next_day", F.lead("_first").over(across))
         .drop("_first")
     )
+    local = df.withColumn("_next_here", F.lead(source).over(here)).withColumn("_is_last", F.lead(F.lit(1)).over(here).isNull())
     return (
-        df.withColumn("_next_here", F.lead(source).over(here))
-        .withColumn("_is_last", F.lead(F.lit(1)).over(here).isNull())
-        .join(first, [*keys, day])
+        join_null_safe(local, first, [*keys, day])
         .withColumn(name, F.when(F.col("_is_last"), F.col("_next_day")).otherwise(F.col("_next_here")))
         .drop("_next_here", "_is_last", "_next_day")
     )
@@ -191,8 +203,7 @@ def number_rows(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        rows.withColumn("_place", F.row_number().over(inside))
-        .join(shift, [*keys, "_bucket"])
+        join_null_safe(rows.withColumn("_place", F.row_number().over(inside)), shift, [*keys, "_bucket"])
         .withColumn(name, (F.col("_place") + F.col("_shift")).cast("int"))
         .drop("_bucket", "_place", "_shift")
     )

@@ -70,15 +70,16 @@ def learn_encoding(train: DataFrame, feature_columns: Sequence[str]) -> Encoding
     filled = zero_fill(train, numeric)
     scaled = ["daily_budget", *numeric]
     labels = {c: F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in ["region", *categorical]}
+    counts = train.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in labels]).first()
+    for c in labels:
+        if counts[c] > MAX_CATEGORIES:
+            raise ValueError(f"column {c} has too many categories to encode")
     row = filled.agg(
         *[v.alias(f"c_{c}") for c, v in labels.items()],
         *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in scaled],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in scaled],
     ).first()
     found = {c: list(row[f"c_{c}"]) for c in labels}
-    for c, values in found.items():
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"column {c} has too many categories to encode")
     moments = {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"] or 0.0) or 1.0) for c in scaled}
     return Encoding(found["region"], numeric, {c: found[c] for c in categorical}, moments)
 

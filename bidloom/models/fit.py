@@ -154,13 +154,14 @@ def folds_of(train: DataFrame, config: Config) -> list[tuple[int, DataFrame, Dat
     return out
 
 
-def cross_validate(name: str, train: DataFrame, config: Config, params: dict[str, Any] | None = None, folds=None) -> dict[str, float]:
+def cross_validate(name: str, train: DataFrame, config: Config, params: dict[str, Any] | None = None, folds=None,
+                   member_params: dict[str, dict] | None = None, weights: Sequence[float] | None = None) -> dict[str, float]:
     """Mean level metrics over the folds; all fold predictions are scored in one job."""
     folds = folds_of(train, config) if folds is None else folds
     scored = None
     for number, rows, val in folds:
         try:
-            model = fit_any(name, rows, config, params)
+            model = fit_any(name, rows, config, params, member_params, weights)
             part = model.predict(usable_rows(val, config.target), "_p").select(
                 F.lit(number).alias("fold"), F.col(config.target).cast("double").alias("y"), "_p"
             )
@@ -213,8 +214,13 @@ class Tournament:
 def selection_score(row: dict[str, Any], config: Config) -> float:
     """Smaller is better."""
     if "r2" in config.model_policy.selection_metric:
-        return -(row.get("cv_r2_levels") or row.get("holdout_r2_levels") or 0.0)
-    return row.get("cv_rmse_levels") or row.get("holdout_rmse_levels")
+        found = _first_known(row.get("cv_r2_levels"), row.get("holdout_r2_levels"))
+        return -(0.0 if found is None else found)
+    return _first_known(row.get("cv_rmse_levels"), row.get("holdout_rmse_levels"))
+
+
+def _first_known(*values: float | None) -> float | None:
+    return next((v for v in values if v is not None), None)
 
 
 def run_tournament(
@@ -230,6 +236,7 @@ def run_tournament(
     folds = folds_of(train, config)
     params: dict[str, dict] = {}
     cv: dict[str, dict] = {}
+    weights_of: dict[str, list[float] | None] = {}
     table: list[dict[str, Any]] = []
     for name in candidates or policy.candidates:
         weights, members = None, None
@@ -241,12 +248,13 @@ def run_tournament(
             members = params
             if config.evaluation.weight_by_cv_rmse and name != "ensemble_ridge_xgb":
                 weights = inverse_error_weights({m: cv[m]["cv_rmse_levels"] for m in ENSEMBLES[name]}, ENSEMBLES[name])
-            cv[name] = cross_validate(name, train, config, None, folds)
+            cv[name] = cross_validate(name, train, config, None, folds, members, weights)
+        weights_of[name] = weights
         model = fit_any(name, train, config, params.get(name), members, weights)
         table.append({"model": name, **cv[name], **holdout_metrics(model, holdout, config)})
     winner = min(table, key=lambda r: selection_score(r, config))["model"]
     refit_on = frame if policy.validation.refit_on_full_data else train
-    final = fit_any(winner, refit_on, config, params.get(winner), params)
+    final = fit_any(winner, refit_on, config, params.get(winner), params, weights_of[winner])
     warnings = []
     for row in table:
         r2 = row["holdout_r2_levels"]

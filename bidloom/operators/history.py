@@ -48,41 +48,44 @@ def renames(actions: DataFrame) -> DataFrame:
     return named.filter(T.is_search_campaign("previous_name") & T.is_search_campaign("current_name"))
 
 
+def rename_paths(hops: DataFrame) -> DataFrame:
+    """(origin, at, name): every hop reached from the first hop of each name in (source, name, at).
+
+    The one successor of a hop is the first later hop out of the name it leads to, so ``at`` grows
+    along a path and reused or returned names end. Jumps double in length until none is left.
+    """
+    nodes = cut_lineage(hops.groupBy("source", "at").agg(F.min("name").alias("name")))
+    later = nodes.select(F.col("source").alias("to_source"), F.col("at").alias("to_at"))
+    jumps = (
+        nodes.join(later, (F.col("name") == F.col("to_source")) & (F.col("to_at") > F.col("at")))
+        .groupBy("source", "at").agg(F.min(F.struct("to_at", "to_source")).alias("to"))
+        .select("source", "at", "to.to_source", "to.to_at")
+    )
+    reached = nodes.groupBy(F.col("source").alias("origin")).agg(F.min("at").alias("at")).select("origin", F.col("origin").alias("source"), "at")
+    jumps = cut_lineage(jumps)
+    while not jumps.isEmpty():
+        more = reached.join(jumps, ["source", "at"]).select("origin", F.col("to_source").alias("source"), F.col("to_at").alias("at"))
+        reached = cut_lineage(reached.unionByName(more))
+        on = jumps.select(F.col("source").alias("to_source"), F.col("at").alias("to_at"), F.col("to_source").alias("far"), F.col("to_at").alias("far_at"))
+        jumps = cut_lineage(jumps.join(on, ["to_source", "to_at"]).select("source", "at", F.col("far").alias("to_source"), F.col("far_at").alias("to_at")))
+    return reached.join(nodes, ["source", "at"]).select("origin", "at", "name")
+
+
 def name_intervals(moves: DataFrame) -> DataFrame:
     """(campaign, newer, older, name): rows with newer < order <= older carried ``name`` then.
 
     The log shows a campaign's current name. Walking from new to old, each rename into the name
-    replaces it by the previous name for all older rows; the chain is followed recursively.
+    replaces it by the previous name for all older rows.
     """
-    spark = moves.sparkSession
-    moves.select("current_name", "previous_name", "order").createOrReplaceTempView("_rename_hops")
-    chain = spark.sql(
-        """
-        WITH RECURSIVE chain(campaign, newer, name) AS (
-          SELECT current_name, min(`order`), min_by(previous_name, `order`) FROM _rename_hops GROUP BY current_name
-          UNION ALL
-          SELECT c.campaign, h.`order`, h.previous_name FROM chain c JOIN _rename_hops h
-            ON h.current_name = c.name AND h.`order` > c.newer
-        ) SELECT campaign, newer, name FROM chain
-        """
-    )
-    ahead = Window.partitionBy("campaign").orderBy("newer")
-    return chain.select("campaign", "newer", F.lead("newer").over(ahead).alias("older"), "name")
+    chain = rename_paths(moves.select(F.col("current_name").alias("source"), F.col("previous_name").alias("name"), F.col("order").alias("at")))
+    ahead = Window.partitionBy("origin").orderBy("at")
+    return chain.select(F.col("origin").alias("campaign"), F.col("at").alias("newer"), F.lead("at").over(ahead).alias("older"), "name")
 
 
 def canonical_names(moves: DataFrame) -> DataFrame:
-    """(campaign, canonical): the latest name each renamed campaign ends up with."""
-    spark = moves.sparkSession
-    moves.groupBy("previous_name").agg(F.max_by("current_name", "order").alias("current_name")).createOrReplaceTempView("_rename_next")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(campaign, name, hops) AS (
-          SELECT previous_name, current_name, 1 FROM _rename_next
-          UNION ALL
-          SELECT w.campaign, n.current_name, w.hops + 1 FROM walk w JOIN _rename_next n ON n.previous_name = w.name
-        ) SELECT campaign, max_by(name, hops) AS canonical FROM walk GROUP BY campaign
-        """
-    )
+    """(campaign, canonical): the latest name each renamed campaign ends up with, walking from old to new."""
+    chain = rename_paths(moves.select(F.col("previous_name").alias("source"), F.col("current_name").alias("name"), (-F.col("order")).alias("at")))
+    return chain.groupBy(F.col("origin").alias("campaign")).agg(F.max_by("name", "at").alias("canonical"))
 
 
 @dataclass(frozen=True)
@@ -504,7 +507,7 @@ def assign_set_ids(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min_by(F.struct(*LIST_FIELDS), "campaign_version").alias("_lists"),
     )
     numbered = number_rows(groups, [], F.floor(F.col("_first") / 1000), [F.col("_first")], "_n")
-    ids = numbered.withColumn("keyword_set_id", F.concat(F.lit("ks_"), F.lpad(F.col("_n").cast("string"), 4, "0")))
+    ids = numbered.withColumn("keyword_set_id", F.format_string("ks_%04d", "_n"))
     sets = ids.select("keyword_set_id", "_lists.*", "used_by_campaign_versions")
     return keyed.join(ids.select("_key", "keyword_set_id"), "_key").drop("_key"), sets
 

@@ -27,6 +27,14 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str) -> None:
         raise ValueError(f"{what} is missing required column(s): {', '.join(missing)}")
 
 
+def readable_date(name: str, what: str) -> Column:
+    """The day of a date column; blank is NULL, and text that is no date stops the job."""
+    day = F.col(name).try_cast("date")
+    bad = day.isNull() & (F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) != "")
+    message = F.concat(F.lit(f"{what} has an unreadable {name}: "), F.col(name).cast("string"))
+    return F.when(bad, F.raise_error(message).cast("date")).otherwise(day)
+
+
 def clean_report(raw: DataFrame) -> DataFrame:
     """Canonical keyword-day rows: cleaned text, derived region, coerced numbers.
 
@@ -42,7 +50,7 @@ def clean_report(raw: DataFrame) -> DataFrame:
     # cleaned first in its own projection: the region reads it several times
     df = df.withColumn("campaign", T.clean_campaign("campaign"))
     return df.select(
-        F.col("date").try_cast("date").alias("date"),
+        readable_date("date", "keyword-day report").alias("date"),
         T.region_of_campaign("campaign").alias("region"),
         T.clean_keyword("keyword").alias("keyword"),
         "campaign",
@@ -61,7 +69,7 @@ def clean_summary(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
             "campaign": T.clean_campaign("campaign"),
-            "start_date": F.col("start_date").try_cast("date"),
+            "start_date": readable_date("start_date", "campaign summary"),
             "end_date": F.col("end_date").try_cast("date"),
             "daily_budget": T.to_double("daily_budget"),
         }

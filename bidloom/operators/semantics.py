@@ -16,8 +16,7 @@ from bidloom.functions import text as T
 from bidloom.functions.grouped import percentile, top_per_group, with_rank
 from bidloom.session import cut_lineage
 
-# Limits of what may sit on the driver: anchor texts and (pool) states, both from settings.
-MAX_ANCHORS = 256
+# Limit of the pool states on the driver; pools come from settings.
 MAX_POOLS = 10000
 # Rows of one side of a distance block.
 BLOCK_ROWS = 2048
@@ -25,10 +24,8 @@ TINY = 1e-12
 
 
 def anchor_matrix(anchors: DataFrame) -> np.ndarray:
-    """Anchor vectors as a matrix; the number of anchors is a short setting and is checked."""
-    rows = anchors.select("embedding").limit(MAX_ANCHORS + 1).collect()
-    if len(rows) > MAX_ANCHORS:
-        raise ValueError("too many anchors to hold in memory")
+    """Anchor vectors as a matrix; anchors are the texts named in the settings."""
+    rows = anchors.select("embedding").collect()
     return np.array([r["embedding"] for r in rows], dtype=float)
 
 

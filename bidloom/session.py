@@ -36,12 +36,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a temporary one only when none is named."""
+    """Use the cluster's shared folder; without one, a folder of the warehouse, or a temporary one for a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="bidloom-ckpt-"))
+    if shared is None:
+        local = context.master.startswith("local[") or context.master == "local"
+        shared = tempfile.mkdtemp(prefix="bidloom-ckpt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    context.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -49,23 +49,31 @@ def publish_panel(panel: DataFrame, summary: DataFrame, path: str, summary_path:
 def read_csv_by_name(spark: SparkSession, root: str, glob: str, schema: str) -> DataFrame:
     """CSV files below ``root`` matched by column name, since each file may carry other columns.
 
-    One scan reads the lines; each file's header line, joined back on the path, says which cell is
-    which column. Files without a header line contribute nothing.
+    One scan reads the lines. A file's header is its first line that is not blank, whatever it holds; joined back on the path, it
+    says which cell is which column. Quoted cells may hold commas, a record is one line. Columns a file lacks are NULL.
     """
     wanted = spark.createDataFrame([], schema).schema
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
-        .select("value", F.col("_metadata.file_path").alias("source_file"))
+        .select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
+        .withColumn("value", F.ltrim(F.col("value"), F.lit("\ufeff")))
+        .filter(F.trim("value") != "")
+        .withColumn("line", F.monotonically_increasing_id())
     )
-    first_cell = F.split(F.col("value"), ",")[0]
-    heads = lines.filter(first_cell.isin(*wanted.names)).select("source_file", F.col("value").alias("head")).distinct()
-    width = 64
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
-    names = F.split("head", ",")
-    by_name = F.map_from_arrays(names, F.slice(F.array(*[cells[f"c{i}"] for i in range(width)]), F.lit(1), F.size(names)))
-    rows = lines.join(heads, "source_file").filter((F.col("value") != F.col("head")) & (F.col("value") != ""))
-    rows = rows.select("source_file", by_name.alias("m"))
-    return rows.select(*[F.try_element_at("m", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in wanted.fields], "source_file")
+    # Lines of one block come from one task in file order; the first block with lines holds the header.
+    heads = lines.groupBy("source_file").agg(F.min_by("value", F.struct("block", "line")).alias("head"))
+    names = F.transform(csv_cells("head"), lambda x: F.trim(x))
+    rows = lines.join(heads.select("source_file", "head", names.alias("names")), "source_file").filter(F.col("value") != F.col("head"))
+    rows = rows.select("source_file", "names", csv_cells("value").alias("cells"))
+    at = {f.name: F.get("cells", F.array_position("names", f.name).cast("int") - 1) for f in wanted.fields}
+    return rows.select(*[F.nullif(at[f.name], F.lit("")).try_cast(f.dataType).alias(f.name) for f in wanted.fields], "source_file")
+
+
+def csv_cells(line: str) -> Column:
+    """Cells of one CSV line, with quotes taken off."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col(line)), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), plain(c)).otherwise(c))
 
 
 def collect_plan_vs_actual(spark: SparkSession, run_dir: str, glob: str = "plan_vs_actual*.csv") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from bidloom.operators.panel import clean_report
+from bidloom.session import cut_lineage
 
 REPORT_SCHEMA = (
     "date string, keyword string, campaign string, match_type string, clicks string, cost string, "
@@ -69,17 +70,21 @@ def upsert_days(path: str, keys: tuple[str, ...] = ("date", "campaign", "region"
             same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
             kept = current.join(months, "month", "left_semi").alias("c").join(fresh.alias("f"), same, "left_anti")
             # read and written in one folder: settle the merged rows first
-            fresh = fresh.unionByName(kept.select(*fresh.columns)).checkpoint()
+            fresh = cut_lineage(fresh.unionByName(kept.select(*fresh.columns)))
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
     return write
 
 
 def append_once(path: str, partition: str = "score_date") -> Callable[[DataFrame, int], None]:
-    """Batch writer for daily metrics: a day's partition is replaced, never doubled."""
+    """Batch writer for daily metrics: a day's partition is replaced, never doubled.
+
+    Of several rows of a day the greatest by their columns in order stays, whatever the partitioning.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch.dropDuplicates([partition])
+        rest = [c for c in batch.columns if c != partition]
+        rows = batch.groupBy(partition).agg(F.max(F.struct(*rest)).alias("r")).select(partition, "r.*").select(*batch.columns)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
     return write
