@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from bidloom.llm.words import runs, span_hashes
 
-END_ID, SEGMENT_TOKENS, RANK_BITS = 2, 1 << 20, 512
+END_ID, SEGMENT_TOKENS, SEGMENT_DOCS, RANK_BITS = 2, 1 << 20, 4096, 512
 CACHE_SEGMENTS, RUN_TEXT_BYTES = 4_000_000, 8 << 20
 SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, "
@@ -120,7 +120,9 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         hashes = span_hashes(data, starts, ends)
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, inverse = np.unique(hashes, return_inverse=True)
+        where = np.empty(len(distinct), np.int64)
+        where[inverse] = np.arange(len(hashes))
         if len(self.known) > CACHE_SEGMENTS:
             self._clear()
         place = np.searchsorted(self.known, distinct)
@@ -158,6 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         doc_tokens: list[int] = []
+        held_tokens = 0
 
         def segment() -> pa.RecordBatch:
             levels, bitmaps, ranks = dac_encode(np.concatenate(held))
@@ -180,10 +183,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                     doc_ids.append(name)
                     doc_tokens.append(n)
                     at += n
-                    if sum_over(doc_tokens, segment_tokens):
+                    held_tokens += n
+                    if held_tokens >= segment_tokens or len(doc_ids) >= SEGMENT_DOCS:
                         yield segment()
                         seq += 1
-                        held, doc_ids, doc_tokens = [], [], []
+                        held, doc_ids, doc_tokens, held_tokens = [], [], [], 0
         if held:
             yield segment()
 
@@ -192,10 +196,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     ordered.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
-def sum_over(counts: list[int], limit: int) -> bool:
-    return len(counts) >= 4096 or sum(counts) >= limit
-
-
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     segments = spark.read.schema(SCHEMA).parquet(path)
