@@ -6,9 +6,12 @@ bytes of a candidate pair are compared in batches; after each the pair is droppe
 from a uniform prior, is below ``MISS``. Survivors are compared on their full sets.
 
 Members of a band's bucket are first compared with its least and greatest member and one drawn by a hash, best shared pair first. Buckets whose
-members then all belong to one component have nothing left to find; in the others every pair of members of different components is
-compared. So a large group of near copies costs a number of pairs in proportion to its members, and no link that could join two
-components is left out.
+members then all belong to one component have nothing left to find. The members of the others form crowds, joined by shared buckets.
+Within a crowd shingles are ordered from rare to frequent, and a set's prefix holds those that a link's first shared shingle can be: two
+sets link only if they share a shingle so early in both that enough shingles follow it. A member of each bucket with the least share of rare
+shingles is compared with the others; then members outside the crowd's largest component look for partners by prefix. What a large group
+has in common stands at the end of the order, so it makes no pairs, and no link that could join two components is left out. Frequencies come
+from a table of fixed size; where it mixes shingles up, the order is less good and the links are the same.
 
 Defined results: a NULL, empty or blank text has an empty set and is linked with nothing. Texts with fewer words than a shingle have their
 whole sequence as one shingle. Rows with the same doc_id and set share a component; a document without an id is linked by equal
@@ -31,6 +34,8 @@ from bidloom.llm.words import mix64, shingles, span_hashes, split_words
 
 BANDS, ROWS, BATCH, MISS, PERCENT = 48, 6, 32, 1e-9, 80
 FILTER_BITS = 1 << 24
+SLOT_BITS = 20  # of the table of shingle frequencies
+SIZE_STEP = 1.05  # ratio of neighbouring classes of set sizes
 _SEEDS = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _A = (_SEEDS[: BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_SEEDS[BANDS * ROWS :] >> np.uint64(32)).astype(np.uint32)
@@ -62,6 +67,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return folded.view(np.int64)
 
 
+def class_id(members: np.ndarray) -> int:
+    """The number that stands for all equal sets."""
+    return int(mix64(mix64(members).sum(keepdims=True) + np.uint64(len(members))).view(np.int64)[0])
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, set_id, bands, sig) of every document; those of an empty set are NULL."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -77,7 +87,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         ids.append(None), bands.append(None), sigs.append(None)
                         continue
                     least = signature(members)
-                    ids.append(int(mix64(mix64(members).sum(keepdims=True) + np.uint64(len(members))).view(np.int64)[0]))
+                    ids.append(class_id(members))
                     bands.append(band_keys(least))
                     sigs.append((least & np.uint32(255)).astype(np.uint8).tobytes())
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -168,6 +178,113 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def crowd_sets(crowd: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(set_id, grp, members) of every (set_id, grp): the set's shingles in order of their hashes."""
+    named = crowd.join(reps.select("set_id", "doc_id"), "set_id").filter("doc_id is not null")
+    texts = _needed(docs.select("doc_id", "text"), named.select(F.col("doc_id").alias("id")))
+    joined = named.join(texts, "doc_id").select("set_id", "grp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                wanted, rows, sets = part.column(0).to_pylist(), [], []
+                for i, members in enumerate(shingle_sets(part.column(2), k)):
+                    if len(members) and class_id(members) == wanted[i]:  # another row may bear the same doc_id
+                        rows.append(i), sets.append(members.view(np.int64))
+                kept = part.select(["set_id", "grp"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.list_(pa.int64()))], ["set_id", "grp", "members"])
+
+    return joined.mapInArrow(run, "set_id bigint, grp bigint, members array<bigint>").dropDuplicates(["set_id"])
+
+
+def _slots(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every row (set_id, grp, members) the shingles and their places in the table of frequencies."""
+    for grp, members in zip(batch.column(1).to_numpy(), batch.column(2)):
+        values = members.values.to_numpy().view(np.uint64)
+        own = mix64(np.array([grp], np.int64).view(np.uint64))
+        yield values, (mix64(values ^ own) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(grp, shingle, set_id, n, pos, room, size_class, rarity) of the shingles that can be the first shared one of a link.
+
+    ``room`` is the greatest size of a partner whose first shared shingle is this one, ``size_class`` the least size of the set's own class.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slot, n = np.unique(np.concatenate([slots for _, slots in _slots(batch)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    counted = sets.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    table = np.ones(1 << SLOT_BITS, np.int64)
+    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    held = sets.sparkSession.sparkContext.broadcast(table)
+    schema = "grp bigint, shingle bigint, set_id bigint, n bigint, pos bigint, room bigint, size_class bigint, rarity double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = size_classes()
+        for batch in batches:
+            set_ids, grps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, (values, slots) in enumerate(_slots(batch)):
+                n, often = len(values), held.value[slots]
+                pos = np.arange((100 - percent) * n // 100 + 1)
+                first = values[np.lexsort((values, often))[: len(pos)]].view(np.int64)
+                room = ((100 + percent) * (n - pos) - percent * n) // percent
+                least = classes[np.searchsorted(classes, n, side="right") - 1]
+                same = [np.full(len(pos), x) for x in (set_ids[row], n, least, (1 / often).mean())]
+                columns = [np.full(len(pos), grps[row]), first, same[0], same[1], pos, room, same[2], same[3]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
+
+    return sets.mapInArrow(run, schema)
+
+
+def size_classes() -> np.ndarray:
+    """Least sizes of the classes of set sizes, each within ``SIZE_STEP`` of the last."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * SIZE_STEP)))
+    return np.array(out, np.int64)
+
+
+def prefix_pairs(early: DataFrame, owned: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of a crowd that share a shingle early enough in both.
+
+    ``owned`` has (set_id, grp, root). Only members outside the crowd's largest component look for partners, each in the classes of sizes
+    that its shingle leaves room for.
+    """
+    largest = owned.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    classes = early.filter("pos = 0").groupBy("grp").agg(F.collect_set("size_class").alias("classes"))
+    rooted = early.join(owned.select("set_id", "root"), "set_id")
+    seekers = rooted.join(largest, "grp").filter("root <> most").join(classes, "grp")
+    fits = F.filter("classes", lambda c: (c <= F.col("room")) & (100 * (c * SIZE_STEP + 1) >= percent * F.col("n")))
+    end = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("set_id", "root", "n", "pos", "room")]
+    left = seekers.select("grp", "shingle", F.explode(fits).alias("size_class"), *end("u"))
+    right = rooted.select("grp", "shingle", "size_class", *end("v"))
+    met = left.join(right, ["grp", "shingle", "size_class"]).filter("root_u <> root_v and n_v <= room_u and n_u <= room_v")
+    return met.select(F.least("set_id_u", "set_id_v").alias("a"), F.greatest("set_id_u", "set_id_v").alias("b")).distinct()
+
+
+def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets, both at hand in ``sets``, reach the threshold."""
+    side = lambda s: sets.select(F.col("set_id").alias(s), F.col("members").alias(f"set_{s}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id of its component), kept."""
     sigs = stored(signatures(docs, shingle), "signatures")
@@ -197,12 +314,25 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
     links = connected_edges(roots).unionAll(checked(apart(stars, roots), "star"))
     roots = connected(links)
 
-    rooted = members.join(roots, members["set_id"] == roots["node"], "left").select("key", "set_id", "low", "high", "drawn", F.coalesce("root", "set_id").alias("root"))
+    rooted = members.join(roots, members["set_id"] == roots["node"], "left").select("key", "set_id", "low", F.coalesce("root", "set_id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    left = stored(rooted.filter("set_id not in (low, high, drawn)").join(mixed, "key").select("key", "set_id", "root"), "left-over")
-    other = left.select("key", F.col("set_id").alias("b"), F.col("root").alias("root_b"))
-    rest = left.withColumnRenamed("set_id", "a").join(other, "key").filter("a < b and root <> root_b").select("a", "b").distinct()
-    links = connected_edges(roots).unionAll(checked(rest, "rest"))
+    left = stored(rooted.join(mixed, "key").select("key", "set_id", "low"), "left-over")
+    crowds = connected(left.select(F.col("set_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("set_id"), F.col("root").alias("grp"))
+    crowd = left.select("set_id").distinct().join(crowds, "set_id", "left").select("set_id", F.coalesce("grp", "set_id").alias("grp"))
+    sets = stored(crowd_sets(stored(crowd, "crowds"), reps, docs, shingle), "crowd-sets")
+    early = stored(prefixes(sets, percent), "prefixes")
+
+    def checked_sets(pairs: DataFrame, name: str) -> DataFrame:
+        survivors = stored(likely(pairs, reps, percent), f"{name}-likely")
+        return stored(confirmed_sets(survivors, sets, percent), f"{name}-links")
+
+    rare = left.select("key", "set_id").join(early.filter("pos = 0").select("set_id", "rarity"), "set_id")
+    plain = rare.groupBy("key").agg(F.min(F.struct("rarity", "set_id"))["set_id"].alias("b"))
+    links = connected_edges(roots).unionAll(checked_sets(apart(rare.select("key", F.col("set_id").alias("a")).join(plain, "key").select("a", "b"), roots), "plain"))
+    roots = connected(links)
+    placed = sets.select("set_id", "grp").join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "grp", F.coalesce("root", "set_id").alias("root"))
+    rest = prefix_pairs(early, stored(placed, "placed"), percent)
+    links = connected_edges(roots).unionAll(checked_sets(rest, "rest"))
     roots = connected(links)
 
     owned = reps.select("set_id", "doc_id").join(roots, reps["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))

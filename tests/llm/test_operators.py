@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -64,6 +65,48 @@ def test_near_groups(corpus, k):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def family(copies, seed=3):
+    """Copies of one text with 0 to 14 changed words of 110, so that many pairs lie close to the threshold, and some at a second text."""
+    rng, rows = random.Random(seed), []
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(110)] for _ in range(2)]
+    for i in range(copies):
+        words_ = list(bases[i % 9 == 0])
+        for at in rng.sample(range(110), rng.randrange(15)):
+            words_[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words_[: rng.choice((110, 110, 95))])))
+    return rows
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_groups_around_the_threshold(spark, k):
+    rows = family(260)
+    want = components_of(rows, k)
+    got = near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=k).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    """All links of seekers are among the pairs, whatever the components are."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 120)
+    sets = {}
+    for i in range(150):
+        own = base.copy()
+        own[rng.choice(120, rng.integers(0, 25), replace=False)] = rng.integers(1, 300, 1)[0] + np.arange(1)
+        sets[i] = np.unique(np.concatenate([own[: rng.integers(100, 121)], rng.integers(1, 200, 3)]))
+    frame = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in sets.items()], "set_id long, grp long, members array<long>")
+    owned = spark.createDataFrame([(i, i % 2, i if i > 30 else i % 2) for i in sets], "set_id long, grp long, root long")
+    root = {i: i if i > 30 else i % 2 for i in sets}
+    pairs = {(r["a"], r["b"]) for r in near_dup.prefix_pairs(near_dup.prefixes(frame, 80), owned, 80).collect()}
+    links = set()
+    for a in sets:
+        for b in range(a + 2, 150, 2):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if root[a] != root[b] and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                links.add((a, b))
+    assert links and links <= pairs
+
+
 def test_posterior_bounds():
     floor = near_dup.least_matches(0.8)
     assert len(floor) == 9 and (np.diff(floor) > 0).all()
