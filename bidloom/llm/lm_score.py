@@ -1,10 +1,11 @@
 """Language-model scoring by context-tree weighting over bytes, beside a smoothed word baseline.
 
-The tree has contexts of up to three bytes. Every byte is coded as eight binary decisions along a code tree, and every decision in
-every context has a Krichevsky-Trofimov estimate. Estimates of all depths are mixed by context-tree weighting: a node weighs its own
-estimate against the product of its children's by their probability of the training data. Contexts seen in less than one in
-``CONTEXTS`` training bytes share one child of their longest kept context, so each depth has at most ``CONTEXTS`` contexts whatever the
-size of the corpus, and the table that workers hold is bounded; the counts cover all training bytes.
+The tree has all contexts of up to ``DEPTH`` bytes that occur, however rare. Every byte is coded as eight binary decisions along a code
+tree, and every decision in every context has a Krichevsky-Trofimov estimate. Estimates of all depths are mixed by context-tree weighting:
+a node weighs its own estimate against the product of its children's by their probability of the training data. Contexts are dealt out by
+their last three bytes and weighed in tasks; the code length of each gram (context and next byte) goes to a written table. Grams that make
+up more than one in ``HOT_SHARE`` training bytes are sent to all workers, the others are joined by document. With ``contexts``, only contexts
+of at least that share of the training bytes are kept and the others share one child of their longest kept context.
 
 Word counts of the baseline are exact for all training documents. Words that make up more than one in ``HOT_SHARE`` words of a sample are
 counted on the side and sent to all workers (at most ``HOT_SHARE`` of them by that definition); all others are counted and joined by hash.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from bidloom.llm.common import stored
 from bidloom.llm.words import runs, span_hashes, split_words
 
-CONTEXTS, HOT_SHARE, SAMPLE_DOCS = 8192, 1 << 20, 16_384
+DEPTH, HOT_SHARE, SAMPLE_DOCS = 4, 1 << 20, 16_384  # a gram of up to six context bytes fits a long
 _LOG10_HALF = float(np.log10(0.5))
 
 
@@ -94,202 +95,230 @@ def _places(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 # ---- byte contexts -----------------------------------------------------------------------------------------------------------------
+# A gram is ``depth`` context bytes, the nearest first with nine bits each, and the next byte. ``REST`` stands for all bytes of a context
+# that is not kept. A binary decision of a byte has the number 2^k - 1 + (its first k bits), k from 0 to 7.
 
+REST = 256
+_TOP = 3  # contexts of so many bytes and more are weighed in tasks, each with everything below it
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three context bytes and the next byte as one number for every byte and the closing zero byte of each text; and the row of each.
 
-    Three zero bytes stand before each text.
-    """
+def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every byte and of the closing zero byte of each text, and its row; zero bytes stand before each text."""
     n = len(offsets) - 1
-    padded = np.zeros(len(data) + 4 * n, np.uint8)
+    owner = np.repeat(np.arange(n), np.diff(offsets) + 1)
+    padded = np.zeros(len(data) + (depth + 1) * n + depth, np.int64)
     row = np.repeat(np.arange(n), np.diff(offsets))
-    padded[np.arange(len(data)) + 4 * row + 3] = data
-    x = padded.astype(np.uint32)
-    grams = x[:-3] << np.uint32(24) | x[1:-2] << np.uint32(16) | x[2:-1] << np.uint32(8) | x[3:] if n else np.zeros(0, np.uint32)
-    owner = np.repeat(np.arange(n), np.diff(offsets) + 4)[3:] if n else np.zeros(0, np.int64)
-    begin = offsets[:-1] + 4 * np.arange(n)
-    inside = np.ones(len(padded), bool)
-    inside[(begin[:, None] + np.arange(3)).ravel()] = False  # grams that end in the zeros before a text
-    keep = inside[3:]
-    return grams[keep], owner[keep]
+    padded[np.arange(len(data)) + (depth + 1) * row + depth] = data
+    at = np.arange(len(owner)) + depth * (owner + 1)
+    grams = np.zeros(len(owner), np.int64)
+    for j in range(1, depth + 1):
+        grams = grams << 9 | padded[at - j]
+    return grams << 8 | padded[at], owner
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, n) over all training texts."""
+def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n) of all texts; n counts training texts only and may be 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in runs(batch.column(0), 4 << 20):
-                grams, n = np.unique(_grams(data, offsets)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    return rows.filter("train").select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _level(depth: int) -> int:
-    """Bytes above a node; the shared child of a context of depth d is numbered d + 10."""
-    return depth if depth < 10 else depth - 9
-
-
-class ContextTree:
-    """The kept contexts with a table of log10 probabilities for each; ``leaves``: rows (depth, context, next byte, count)."""
-
-    def __init__(self, leaves: list[tuple[int, int, int, int]]):
-        counts: dict[tuple[int, int], np.ndarray] = {}
-        children: dict[tuple[int, int], set] = {}
-        # A leaf is a context of depth 3, or the shared child (depth + 10) of a context of depth 0 to 2.
-        for depth, context, byte, n in leaves:
-            counts.setdefault((depth, context), np.zeros(256, np.int64))[byte] += n
-        for node in list(counts):
-            depth, context = node
-            parents = [(d, context & ((1 << 8 * d) - 1)) for d in range(_level(depth) - 1, -1, -1)]
-            child = node
-            for parent in parents:
-                children.setdefault(parent, set()).add(child)
-                counts.setdefault(parent, np.zeros(256, np.int64))
-                counts[parent] += counts[node]
-                child = parent
-        self.nodes = sorted(counts)
-        self._weigh(counts, children)
-
-    def _lgamma(self, x: np.ndarray, shift: float) -> np.ndarray:
-        """log Gamma(x + shift) by Stirling's series for large x and a table or recursion for small x."""
-        z = x + shift + 8.0
-        series = (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
-        for j in range(8):
-            series = series - np.log(x + shift + j)
-        return series
-
-    def _weigh(self, counts: dict, children: dict) -> None:
-        levels = [np.arange(256).reshape(1 << k, -1) for k in range(8)]
-        zeros, ones = {}, {}
-        own: dict[tuple[int, int], np.ndarray] = {}
-        for node, c in counts.items():
-            a, b = np.zeros(255), np.zeros(255)
-            for k, members in enumerate(levels):
-                halves = c[members].reshape(1 << k, 2, -1).sum(axis=2)
-                a[(1 << k) - 1 : (2 << k) - 1], b[(1 << k) - 1 : (2 << k) - 1] = halves[:, 0], halves[:, 1]
-            zeros[node], ones[node] = a, b
-            own[node] = self._lgamma(a, 0.5) + self._lgamma(b, 0.5) - self._lgamma(a + b, 1.0) - np.log(np.pi)
-        mixed: dict[tuple[int, int], np.ndarray] = {}
-        share: dict[tuple[int, int], np.ndarray] = {}
-        for node in sorted(counts, key=lambda x: (-_level(x[0]), x)):
-            below = children.get(node)
+            train = batch.column(0).to_numpy(zero_copy_only=False)
+            for part, data, offsets in runs(batch.column(1), 8 << 20):
+                grams, owner = _grams(data, offsets, depth)
+                mine = train[part][owner]
+                for used, weight in ((mine, 1), (~mine, 0)):
+                    found, n = np.unique(grams[used], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64) * weight)], ["gram", "n"])
+
+    return rows.select("train", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _lgamma(x: np.ndarray, shift: float) -> np.ndarray:
+    """log Gamma(x + shift) by Stirling's series eight places further on."""
+    z = x + shift + 8.0
+    series = (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    for j in range(8):
+        series = series - np.log(x + shift + j)
+    return series
+
+
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log of the Krichevsky-Trofimov probability of the decisions so far, and the chance of a one."""
+    own = _lgamma(zeros, 0.5) + _lgamma(ones, 0.5) - _lgamma(zeros + ones, 1.0) - np.log(np.pi)
+    return np.where(zeros + ones > 0, own, 0.0), (ones + 0.5) / (zeros + ones + 1)
+
+
+def _mix(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log of the weighted probability of a node, and the share of its own estimate in it."""
+    mixed = np.logaddexp(own, below) + np.log(0.5)
+    return mixed, np.exp(own + np.log(0.5) - mixed)
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, each row's place among them, and the sums of the values."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, place, *(np.bincount(place, v, len(found)) for v in values)
+
+
+def _weighed(keys: np.ndarray, n: np.ndarray, depth: int):
+    """For each k: (context of ``_TOP`` bytes << 8 | decision, zeros, ones, log weighted) of the top nodes; then for each row the chance of
+    a one below the top, its top node and its bit. All grams of a context of ``_TOP`` bytes are there."""
+    levels = []
+    for d in range(depth, _TOP - 1, -1):
+        levels.append(_summed(keys >> 8 + 9 * (depth - d) << 8 | keys & 255, n))
+    for k in range(8):
+        below, child, chance, at = None, None, None, None
+        for found, place, total in levels:
+            node = found >> 8 << 8 | (1 << k) - 1 + ((found & 255) >> (8 - k))
+            bit = (found >> (7 - k) & 1).astype(bool)
+            first = np.ones(len(node), bool)
+            first[1:] = node[1:] != node[:-1]
+            own_place = np.cumsum(first) - 1
+            nodes = node[first]
+            zeros, ones = (np.bincount(own_place, total * b, len(nodes)) for b in (~bit, bit))
+            own, one = _estimate(zeros, ones)
             if below is None:
-                mixed[node], share[node] = own[node], np.ones(255)
-                continue
-            product = sum(mixed[c] for c in sorted(below))
-            mixed[node] = np.logaddexp(own[node], product) + np.log(0.5)
-            share[node] = np.exp(own[node] + np.log(0.5) - mixed[node])
-        leaves = [n for n in self.nodes if n not in children]
-        self.leaf_rows = {n: i for i, n in enumerate(leaves)}
-        table = np.zeros((len(leaves), 256), np.float32)
-        # Chance of a one bit at every decision of a leaf: the estimates along its path, from the leaf up to the root.
-        places = np.array([[(1 << k) - 1 + (b >> (8 - k)) for k in range(8)] for b in range(256)])
-        bits = np.array([[b >> (7 - k) & 1 for k in range(8)] for b in range(256)])
-        for node, i in self.leaf_rows.items():
-            depth, context = node
-            chance = (ones[node] + 0.5) / (zeros[node] + ones[node] + 1)
-            for d in range(_level(depth) - 1, -1, -1):
-                parent = (d, context & ((1 << 8 * d) - 1))
-                estimate = (ones[parent] + 0.5) / (zeros[parent] + ones[parent] + 1)
-                chance = share[parent] * estimate + (1 - share[parent]) * chance
-            p = np.where(bits == 1, chance[places], 1 - chance[places])
-            table[i] = np.log10(p).sum(axis=1)
-        # A context without a leaf, whose longest kept context has no shared child, meets an empty child there.
-        self.table = table
-        self._empty(counts, children, share, zeros, ones, places, bits)
-
-    def _empty(self, counts, children, share, zeros, ones, places, bits) -> None:
-        missing = [(d + 10, c) for d, c in self.nodes if d < 3 and (d + 10, c) not in counts]
-        rows = []
-        for depth, context in missing:
-            chance = np.full(255, 0.5)
-            for d in range(depth - 10, -1, -1):
-                parent = (d, context & ((1 << 8 * d) - 1))
-                estimate = (ones[parent] + 0.5) / (zeros[parent] + ones[parent] + 1)
-                chance = share[parent] * estimate + (1 - share[parent]) * chance
-            p = np.where(bits == 1, chance[places], 1 - chance[places])
-            self.leaf_rows[(depth, context)] = len(self.table) + len(rows)
-            rows.append(np.log10(p).sum(axis=1).astype(np.float32))
-        if rows:
-            self.table = np.concatenate([self.table, np.stack(rows)])
-
-    def packed(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The table and, for each depth, its kept contexts with the row that serves them."""
-        depths = []
-        for d in range(4):
-            found = sorted((c, r) for (depth, c), r in self.leaf_rows.items() if depth == (3 if d == 3 else d + 10))
-            depths.append((np.array([c for c, _ in found], np.int64), np.array([r for _, r in found], np.int64)))
-        return self.table, depths
-
-
-class Scorer:
-    """Row numbers for all contexts of three bytes, and the sums."""
-
-    def __init__(self, table: np.ndarray, depths: list[tuple[np.ndarray, np.ndarray]]):
-        self.table = table.ravel()
-        rows = np.zeros(1 << 24, np.uint16 if len(table) < 1 << 16 else np.uint32)
-        for d, (contexts, served) in enumerate(depths):
-            if d == 0:
-                rows[:] = served[0] if len(served) else 0
-            elif d == 3:
-                rows[contexts] = served
-            else:  # the context is the last d bytes, which are the low ones
-                view = rows.reshape(-1, 1 << 8 * d)
-                view[:, contexts] = served.astype(rows.dtype)
-        self.rows = rows
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(offsets) - 1
-        if not len(self.table):
-            return np.zeros(n)
-        grams, owner = _grams(data, offsets)
-        at = self.rows[grams >> np.uint32(8)].astype(np.int64) * 256 + (grams & np.uint32(255))
-        begin = offsets[:-1] + np.arange(n)
-        return np.add.reduceat(self.table[at].astype(np.float64), begin)
-
-
-def _tree(grams: DataFrame, contexts: int) -> ContextTree:
-    """The tree from gram counts: contexts above the share are kept at each depth, all other counts go to the shared children."""
-    spark = grams.sparkSession
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    kept = []
-    for d in (1, 2, 3):
-        context = F.shiftright(F.col("gram"), 8).bitwiseAND((1 << 8 * d) - 1)
-        big = grams.groupBy(context.alias(f"c{d}")).agg(F.sum("n").alias("n")).filter(F.col("n") * contexts >= total)
-        kept.append(sorted(r[0] for r in big.select(f"c{d}").collect()))
-    shared = spark.sparkContext.broadcast([np.array(k, np.int64) for k in kept])
+                mixed, chance, at = own, one, np.arange(len(nodes))
+                row_node, row_bit = own_place[place], bit[place]
+            else:
+                up = np.searchsorted(nodes, child >> 17 << 8 | child & 255)
+                mixed, share = _mix(own, np.bincount(up, below, len(nodes)))
+                at = up[at]
+                chance = share[at] * one[at] + (1 - share[at]) * chance
+            below, child = mixed, nodes
+        yield nodes, zeros, ones, mixed, chance[row_node], at[row_node], row_bit
+
+
+def _by_context(batches: Iterator[pa.RecordBatch], depth: int, rows: int = 1 << 19) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows in parts of about ``rows`` that end with a context of ``_TOP`` bytes; the first column is the key."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) < rows:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        top = columns[0] >> 8 + 9 * (depth - _TOP)
+        cut = int(np.searchsorted(top, top[-1]))
+        held = [[c[cut:] for c in columns]]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if held and sum(len(h[0]) for h in held):
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _with_keys(grams: DataFrame, contexts: int | None, depth: int) -> DataFrame:
+    """(key, gram, n): the gram with the bytes beyond the longest kept context as ``REST``; without a bound every context is kept."""
+    if contexts is None:
+        return grams.select(F.col("gram").alias("key"), "gram", "n")
+    total, kept = grams.agg(F.sum("n")).first()[0] or 0, []
+    for d in range(1, depth + 1):
+        big = grams.groupBy(F.shiftright("gram", 8 + 9 * (depth - d)).alias("c")).agg(F.sum("n").alias("n"))
+        kept.append(np.array(sorted(r[0] for r in big.filter(F.col("n") * contexts >= total).select("c").collect()), np.int64))
+    shared = grams.sparkSession.sparkContext.broadcast(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            context, byte = gram >> 8, gram & 255
-            depth, leaf = np.full(len(gram), 10), np.zeros(len(gram), np.int64)
+            gram = batch.column(0).to_numpy()
+            key = np.zeros(len(gram), np.int64)
             for d, known in enumerate(shared.value, 1):
-                mine = context & ((1 << 8 * d) - 1)
-                found = np.isin(mine, known)
-                depth[found], leaf[found] = (3 if d == 3 else 10 + d), mine[found]
-            arrays = [pa.array(depth.astype(np.int32)), pa.array(leaf), pa.array(byte.astype(np.int32)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(arrays, ["depth", "context", "byte", "n"])
+                context = gram >> 8 + 9 * (depth - d)
+                key = key << 9 | np.where(np.isin(context, known), context & 511, REST)
+            yield pa.RecordBatch.from_arrays([pa.array(key << 8 | gram & 255), batch.column(0), batch.column(1)], ["key", "gram", "n"])
+
+    return grams.select("gram", "n").mapInArrow(run, "key bigint, gram bigint, n bigint")
+
+
+def _top_chances(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the decisions in each context of two bytes: what the contexts of up to two bytes add to the chance of a one, and the share that
+    is left to longer ones. There are at most 65,536 such contexts, whatever the corpus."""
+    rows = nodes.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed")).orderBy("node").toPandas()
+    node, zeros, ones, below = (rows[c].to_numpy() for c in rows.columns)
+    bottom, levels = node, []
+    for _ in range(_TOP):
+        own, one = _estimate(zeros, ones)
+        mixed, share = _mix(own, below)
+        up, place, zeros, ones, below = _summed(node >> 17 << 8 | node & 255, zeros, ones, mixed)
+        levels.append((share, one, place))
+        node = up
+    added, left = np.zeros(len(node)), np.ones(len(node))
+    for share, one, place in reversed(levels):
+        added, left = added[place] + left[place] * share * one, left[place] * (1 - share)
+    return bottom, added, left
+
+
+def code_lengths(grams: DataFrame, contexts: int | None = None, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, log): log10 probability of the next byte of each gram in its context, by weighting all contexts of up to ``depth`` bytes."""
+    if not _TOP <= depth <= 6:
+        raise ValueError("a gram holds contexts of three to six bytes")
+    keyed = _with_keys(grams, contexts, depth)
+    dealt = keyed.repartition(F.shiftright("key", 8 + 9 * (depth - _TOP))).sortWithinPartitions("key")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, n in _by_context(batches, depth):
+            for nodes, zeros, ones, mixed, *_ in _weighed(key, n, depth):
+                arrays = [nodes >> 17 << 8 | nodes & 255, zeros, ones, mixed]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "zeros", "ones", "mixed"])
+
+    top = grams.sparkSession.sparkContext.broadcast(_top_chances(dealt.mapInArrow(weigh, "node bigint, zeros double, ones double, mixed double")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bottom, added, left = top.value
+        for key, gram, n in _by_context(batches, depth):
+            logs = np.zeros(len(key))
+            for nodes, _, _, _, chance, at, bit in _weighed(key, n, depth):
+                place = np.searchsorted(bottom, nodes >> 17 << 8 | nodes & 255)[at]
+                one = added[place] + left[place] * chance
+                logs += np.log10(np.where(bit, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array(logs)], ["gram", "n", "log"])
+
+    return dealt.mapInArrow(measure, "gram bigint, n bigint, log double")
+
+
+def _gram_rows(rows: DataFrame, hot, depth: int) -> DataFrame:
+    """(doc, gram, n, logs): the sum over hot grams of each document under gram -1, and its other grams."""
 
-    leaves = grams.select("gram", "n").mapInArrow(run, "depth int, context bigint, byte int, n bigint")
-    rows = leaves.groupBy("depth", "context", "byte").agg(F.sum("n").alias("n")).collect()
-    return ContextTree([tuple(r) for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, log = hot.value
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            for part, data, offsets in runs(batch.column(1)):
+                grams, owner = _grams(data, offsets, depth)
+                place, is_hot = _places(known, grams)
+                n_docs = len(offsets) - 1
+                sums = np.bincount(owner[is_hot], log[place[is_hot]], n_docs)
+                rare = grams[~is_hot]
+                arrays = [
+                    np.concatenate([docs[part], docs[part][owner[~is_hot]]]),
+                    np.concatenate([np.full(n_docs, -1), rare]),
+                    np.concatenate([sums, np.zeros(len(rare))]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc", "gram", "logs"])
+
+    return rows.select("row", "text").mapInArrow(run, "doc bigint, gram bigint, logs double")
+
+
+def _scores(rows: DataFrame, contexts: int | None, depth: int, share: int) -> DataFrame:
+    """(doc, score), summed over equal rows. Grams above the share are sent to all workers, all others are joined: a choice of way only."""
+    lengths = stored(code_lengths(stored(gram_counts(rows, depth), "grams"), contexts, depth), "code-lengths")
+    total = lengths.agg(F.sum("n")).first()[0] or 0
+    frequent = lengths.filter(F.col("n") * share > total).select("gram", "log").orderBy("gram").toPandas()
+    hot = rows.sparkSession.sparkContext.broadcast((frequent["gram"].to_numpy(np.int64), frequent["log"].to_numpy(np.float64)))
+    listed = stored(_gram_rows(rows, hot, depth), "gram-sums")
+    rare = listed.filter("gram <> -1").join(lengths.select("gram", "log"), "gram").select("doc", F.col("log").alias("logs"))
+    return listed.filter("gram = -1").select("doc", "logs").unionAll(rare).groupBy("doc").agg(F.sum("logs").alias("score"))
 
 
 # ---- operator ----------------------------------------------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, contexts: int = CONTEXTS, share: int = HOT_SHARE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def score_documents(
+    docs: DataFrame, contexts: int | None = None, share: int = HOT_SHARE, sample_docs: int = SAMPLE_DOCS, depth: int = DEPTH
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (~held_out(F.col("doc_id"))).alias("train"), F.xxhash64("doc_id", "text").alias("row"), "text")
     hot = spark.sparkContext.broadcast(_hot_words(rows, sample_docs, share))
-    table, depths = _tree(stored(gram_counts(rows), "grams"), contexts).packed()
-    tree = spark.sparkContext.broadcast((table, depths))
+    scores = _scores(rows, contexts, depth, share)
 
     listed = stored(_word_rows(rows, hot), "words")
     sums = listed.filter("doc = -1").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most `share` rows
@@ -314,7 +343,7 @@ def score_documents(docs: DataFrame, contexts: int = CONTEXTS, share: int = HOT_
     end_log, end_known = float(np.log10(ends + 0.1)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, known = Scorer(*tree.value), hot.value
+        known = hot.value
         weight, is_known = logs.value
         for batch in batches:
             for w in split_words(batch.column(3), 1 << 20):
@@ -324,7 +353,6 @@ def score_documents(docs: DataFrame, contexts: int = CONTEXTS, share: int = HOT_
                 place, is_hot = _places(known, hashes)
                 mine, at = owner[is_hot], place[is_hot]
                 part = batch.slice(w.rows.start, n_docs)
-                (_, raw, offsets), = runs(part.column(3), 1 << 62)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -333,18 +361,18 @@ def score_documents(docs: DataFrame, contexts: int = CONTEXTS, share: int = HOT_
                         pa.array(np.diff(w.first) + 1),
                         pa.array(np.bincount(mine, weights=is_known[at], minlength=n_docs).astype(np.int64) + end_known),
                         pa.array(np.bincount(mine, weights=weight[at], minlength=n_docs) + end_log),
-                        pa.array(scorer.score(raw, offsets)),
                         pa.array(np.diff(w.offsets) + 1),
                     ],
-                    ["doc_id", "train", "row", "n_tokens", "hot_known", "hot_logs", "score", "n_bytes"],
+                    ["doc_id", "train", "row", "n_tokens", "hot_known", "hot_logs", "n_bytes"],
                 )
 
-    schema = f"doc_id {kind}, train boolean, row bigint, n_tokens long, hot_known long, hot_logs double, score double, n_bytes long"
+    schema = f"doc_id {kind}, train boolean, row bigint, n_tokens long, hot_known long, hot_logs double, n_bytes long"
     scored = rows.select("doc_id", "train", "row", "text").mapInArrow(run, schema)
     base = float(np.log10(total + 0.1 * (distinct + 1))) if total else 0.0
     # Equal rows list their rare words under one number; each gets its own share of the sums.
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
     joined = scored.join(per_doc, scored["row"] == per_doc["doc"], "left").join(copies, "row")
+    joined = joined.join(scores.withColumnRenamed("doc", "row"), "row").withColumn("score", F.col("score") / F.col("copies"))
     rare_logs, rare_known = (F.coalesce(F.col(c), F.lit(0)) / F.col("copies") for c in ("logs", "known"))
     result = joined.select(
         "doc_id",

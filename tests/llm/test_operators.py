@@ -391,6 +391,24 @@ def test_context_tree_weighting(spark):
         assert math.isclose(got[i], context_tree_chance(used, 8, t or ""), rel_tol=1e-4), (i, t)
 
 
+def test_rare_contexts_keep_their_counts(spark):
+    """Contexts seen few times among many bytes, down to the last depth: the scores are those of the tree with every context."""
+    rng = random.Random(2)
+    used = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 10]
+    train = ["".join(rng.choice("abcdefgh") for _ in range(600)) + " xq zj" for _ in used]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [*zip(used, train), (held, "abc xq zj \u00e9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (1 << 20, 50):
+        got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, share=share, depth=3).collect()}
+        for i, t in (rows[0], rows[-1]):
+            assert math.isclose(got[i], context_tree_chance(train, 1 << 40, t), rel_tol=1e-6), (i, share)
+    base = ["wabcx", "yabcz"] * 40
+    deep = spark.createDataFrame([*zip(used, base), (held, "wabcx")], "doc_id long, text string")
+    short, whole = ({r["doc_id"]: r["score"] for r in lm_score.score_documents(deep, depth=d).collect()}[held] for d in (3, 4))
+    assert whole > short + 0.2
+
+
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
