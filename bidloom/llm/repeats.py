@@ -3,8 +3,10 @@
 Of every text only the suffixes at content-selected places are kept: the places of the least word-sequence hash in each window of
 ``WINDOW`` places, so that equal passages select equal places whatever surrounds them, and every passage of ``PASSAGE`` words holds one.
 Suffixes whose first ``KEY`` words occur nowhere else can have no partner and are left out. The others are sorted twice, by the words to
-the right and by the words to the left; each is compared with its neighbour, and the match is extended to both sides. Stretches of
-``PASSAGE`` or more equal words are united per document.
+the right and by the words to the left; each is compared with its neighbour, and the match is extended to both sides. The neighbours also
+bound how far any match of a suffix can reach on either side. Where these bounds leave windows of ``PASSAGE`` words that no neighbour
+shares, all windows of the same key and the same places in them are counted by hash. Stretches of ``PASSAGE`` or more equal words are united
+per document.
 
 Words are runs without ASCII white space, A-Z in lower case. Sorting is by ranges of the whole suffix key and the document, so copies
 of one passage spread over many tasks; the two ends of every sorted partition are compared afterwards.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.common import stored
-from bidloom.llm.words import shingles, span_hashes, split_words
+from bidloom.llm.words import _MULT, mix64, shingles, span_hashes, split_words
 
 PASSAGE, KEY, WINDOW = 50, 8, 42
 REACH = PASSAGE  # words looked at on each side of a place; places are at most WINDOW apart, so stretches overlap
@@ -121,18 +123,25 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(x != y))
 
 
-def _matched(a: tuple, b: tuple, passage: int) -> list[tuple]:
-    """Spans of both suffixes when the stretch they share is long enough; a, b: (doc, pos, key, right, left)."""
-    if a[2] != b[2]:
-        return []
-    right, left = _common(a[3], b[3]), _common(a[4], b[4])
-    if right + left < passage:
+def _shared(a: tuple, b: tuple) -> tuple[int, int]:
+    """Equal words to the right and to the left of two suffixes of one key; a, b: (doc, pos, key, right, left)."""
+    return (_common(a[3], b[3]), _common(a[4], b[4])) if a[2] == b[2] else (-1, -1)
+
+
+def _spans(a: tuple, b: tuple, right: int, left: int, passage: int) -> list[tuple]:
+    """Spans of both suffixes when the stretch they share is long enough."""
+    if right < 0 or right + left < passage:
         return []
     return [(x[0], x[1] - left, x[1] + right, y[0]) for x, y in ((a, b), (b, a))]
 
 
-def neighbours(suffixes: DataFrame, side: str, other: str, passage: int) -> DataFrame:
-    """(doc_id, begin, end, partner): spans from comparing each suffix with the next in the order of ``side``."""
+def neighbours(suffixes: DataFrame, side: str, other: str, passage: int, key: int) -> DataFrame:
+    """(doc_id, begin, end, partner): spans from comparing each suffix with the next in the order of ``side``.
+
+    Rows of edge -2 are (doc_id, begin: place, end: most words on ``side`` that a suffix shares with any other, part: words on the other
+    side it shares with that neighbour, key); left out where that neighbour holds all there is to find on its side.
+    """
+    all_of = passage - key if side == "right" else passage
     kind = suffixes.schema["doc_id"].dataType.simpleString()
     ordered = suffixes.select("doc_id", "pos", "key", "right", "left").orderBy("key", side, other, "doc_id", "pos")
     names = ["doc_id", "begin", "end", "partner", "part", "edge", "key", "right", "left"]
@@ -151,17 +160,25 @@ def neighbours(suffixes: DataFrame, side: str, other: str, passage: int) -> Data
             def edge(row: tuple, first: int, part=part) -> tuple:
                 return row[0], row[1], 0, None, part, first, row[2], row[3], row[4]
 
+            def bound(row: tuple, most: tuple[int, int]) -> list[tuple]:
+                return [(row[0], row[1], most[0], None, most[1], -2, row[2], None, None)] if 0 <= most[1] < all_of else []
+
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             out = []
             for row in rows:
                 if before is None:
                     out.append(edge(row, 0))
+                    most = (passage, 0)  # the neighbour lies in another partition
                 else:
-                    out += [(*span, part, -1, 0, None, None) for span in _matched(before, row, passage)]
+                    right, left = _shared(before, row)
+                    out += [(*span, part, -1, 0, None, None) for span in _spans(before, row, right, left, passage)]
+                    pair = (right, left) if side == "right" else (left, right)
+                    out += bound(before, max(most, pair))
+                    most = pair
                 before = row
             yield made(out)
         if before is not None:
-            yield made([edge(before, 1)])
+            yield made([edge(before, 1), *bound(before, (passage, 0))])
 
     found = ordered.mapInArrow(run, schema)
     return found
@@ -178,7 +195,7 @@ def _edge_spans(found: DataFrame, passage: int) -> DataFrame:
             out = []
             for *row, part, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 if before is not None and part != before_part:
-                    out += _matched(before, tuple(row), passage)
+                    out += _spans(before, tuple(row), *_shared(before, tuple(row)), passage)
                 before, before_part = tuple(row), part
             columns = list(zip(*out)) if out else [[]] * 4
             doc_kind = batch.schema.field(0).type
@@ -188,6 +205,57 @@ def _edge_spans(found: DataFrame, passage: int) -> DataFrame:
     return edges.mapInArrow(run, f"doc_id {kind}, begin int, end int, partner {kind}")
 
 
+def _open_ranges(by_right: DataFrame, by_left: DataFrame, passage: int) -> DataFrame:
+    """(key, low, high): words to the right of the place in windows that suffixes of the key may share with others than their neighbours."""
+
+    def bounds(found: DataFrame, reach: str, held: str) -> DataFrame:
+        return found.filter("edge = -2").select("key", "doc_id", F.col("begin").alias("pos"), F.col("end").alias(reach), F.col("part").alias(held))
+
+    both = bounds(by_right, "right", "left_held").unionByName(bounds(by_left, "left", "right_held"), allowMissingColumns=True)
+    each = both.groupBy("key", "doc_id", "pos").agg(F.max("right").alias("right"), F.max("left").alias("left"), F.min("left_held").alias("left_held"), F.min("right_held").alias("right_held"))
+    low = F.greatest(F.col("right_held") + 1, F.lit(passage) - F.col("left")).alias("low")
+    high = F.least(F.lit(passage - 1) - F.col("left_held"), F.col("right")).alias("high")
+    full = each.filter("right IS NOT NULL AND left IS NOT NULL").select("key", low, high).filter("low <= high")
+    return full.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def windows(suffixes: DataFrame, ranges: DataFrame, passage: int) -> DataFrame:
+    """(window, doc_id, begin): hash of each window of ``passage`` words with so many words to the right of its place."""
+    kind = suffixes.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                n = batch.num_rows
+                pos, low, high = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 4, 5))
+                words = np.zeros((n, 2 * passage), np.uint64)
+                sizes = np.zeros((n, 2), np.int64)
+                for i, (right, left) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                    sizes[i] = len(right) // 4, len(left) // 4
+                    words[i, passage : passage + sizes[i, 0]] = np.frombuffer(right, ">u4")
+                    words[i, passage - sizes[i, 1] : passage] = np.frombuffer(left, ">u4")[::-1]
+                r = np.arange(passage + 1)
+                hashes = np.zeros((n, passage + 1), np.uint64) + r.astype(np.uint64)
+                for j in range(passage):
+                    hashes = hashes * _MULT + words[:, j : j + passage + 1] + np.uint64(1)
+                fits = (r >= low[:, None]) & (r <= high[:, None]) & (r <= sizes[:, :1]) & (passage - r <= sizes[:, 1:])
+                i, at = np.nonzero(fits)
+                begin = (pos[i] + at - passage).astype(np.int32)
+                arrays = [pa.array(mix64(hashes[i, at]).view(np.int64)), batch.column(0).take(pa.array(i)), pa.array(begin)]
+                yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "begin"])
+
+    asked = suffixes.join(ranges, "key").select("doc_id", "pos", "right", "left", "low", "high")
+    return asked.mapInArrow(run, f"window bigint, doc_id {kind}, begin int")
+
+
+def _window_spans(found: DataFrame, passage: int) -> DataFrame:
+    """Spans of the windows that occur more than once; the least document's partner is the greatest one."""
+    counts = found.groupBy("window").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).filter("n > 1")
+    partner = F.when(F.col("doc_id") == F.col("least"), F.col("greatest")).otherwise(F.col("least")).alias("partner")
+    return found.join(counts, "window").select("doc_id", "begin", (F.col("begin") + passage).alias("end"), partner).distinct()
+
+
 def _united(spans: DataFrame) -> DataFrame:
     """Overlapping spans of a document as one; a document's spans are bounded by its selected places."""
     entry = F.struct("begin", "end", F.col("partner").cast("string").alias("other"), "partner")
@@ -215,9 +283,11 @@ def find_repeats(docs: DataFrame, passage: int = PASSAGE, key: int = KEY, window
     shared = places.groupBy("key").count().filter("count > 1").select("key")
     kept = places.join(shared, "key").select("doc_id", "pos")
     suffixes = stored(with_context(docs, kept, key, passage), "suffixes")
-    spans = None
+    spans, orders = None, []
     for side, other in (("right", "left"), ("left", "right")):
-        found = stored(neighbours(suffixes, side, other, passage), f"by-{side}")
+        found = stored(neighbours(suffixes, side, other, passage, key), f"by-{side}")
         part = found.filter("edge = -1").select("doc_id", "begin", "end", "partner").distinct().unionAll(_edge_spans(found, passage))
         spans = part if spans is None else spans.unionAll(part)
-    return _united(spans)
+        orders.append(found)
+    more = stored(windows(suffixes, _open_ranges(*orders, passage), passage), "windows")
+    return _united(spans.unionAll(_window_spans(more, passage)))

@@ -138,6 +138,22 @@ def test_repeats(corpus):
     assert {i: s for i, s in got.items()} == {i: s for i, s in want.items()}
 
 
+def test_repeats_of_suffixes_apart_in_both_orders(spark):
+    """A family of copies with scattered edits: some pairs share 50 words around a place while other copies stand between them."""
+    rng, rows = random.Random(11), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for i in range(3000):
+        rows.append((i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 1 / 25 else w for w in base)))
+    seen = defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 49):
+            seen[tuple(w[p : p + 50])].add((i, p))
+    want = {(i, q) for places in seen.values() if len(places) > 1 for i, p in places for q in range(p, p + 50)}
+    found = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r["doc_id"], q) for r in found for q in range(r["begin"], r["end"])} == want
+
+
 def test_leaks(spark, corpus):
     docs, rows = corpus
     item = " ".join(rows[40][1].split()[:15])
