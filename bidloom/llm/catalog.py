@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, lm_score, mixing, near_dup, quality, repeats, secret_scan, token_count, token_file, url_filter
+from bidloom.llm import decontaminate, lm_score, mixing, near_dup, quality, repeats, resample, secret_scan, token_count, token_file, url_filter
 from bidloom.llm.common import table
 from bidloom.session import scratch_dir
 
@@ -69,6 +69,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op8_token_file,
         op9_mixing,
         op10_token_counts,
+        op13_target_resampling,
     )
 }
 
@@ -128,4 +134,34 @@ r AS (
 SELECT doc_id, size, source_size, target,
   (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
+    "op13_target_resampling": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f
+  FROM benchmark),
+o AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM w) GROUP BY ALL),
+k AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS k
+  FROM range(256) t(i)),
+v AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM o UNION SELECT f FROM b)),
+crc AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, k[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket
+  FROM v, k),
+s AS (SELECT bucket, sum(n) AS s FROM o JOIN crc USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000))::DOUBLE
+    / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM o JOIN crc USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.*, CASE WHEN r.rank <= r.n * 10 // 100 THEN r.rank END AS rank
+FROM scored s LEFT JOIN ranked r USING (doc_id)""",
 }

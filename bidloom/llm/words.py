@@ -81,10 +81,10 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def split_words(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[Words]:
+def split_words(column: pa.Array, run_bytes: int = RUN_BYTES, space: np.ndarray = _SPACE) -> Iterator[Words]:
     for rows, raw, offsets in runs(column, run_bytes):
         data = _LOWER[raw]
-        yield Words(rows, data, offsets, *word_bounds(data, offsets))
+        yield Words(rows, data, offsets, *word_bounds(data, offsets, space))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
