@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, lm_score, mixing, near_dup, quality, repeats, resample, secret_scan, token_count, token_file, url_filter
+from bidloom.llm import decontaminate, lm_score, mixing, near_dup, quality, repeats, resample, secret_scan, token_count, token_file, url_filter, vector_codes
 from bidloom.llm.common import table
 from bidloom.session import scratch_dir
 
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.encode_with_errors(table(spark, sf, "embeddings"))
+
+
 def op13_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
     drawn = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -87,10 +91,45 @@ QUERIES: dict[str, Query] = {
         op8_token_file,
         op9_mixing,
         op10_token_counts,
+        op11_vector_codes,
         op13_target_resampling,
     )
 }
 
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """All rounds as common tables: v (vec_id, p, x), c0..c4 (p, e, c), a0..a4 (vec_id, p, e, d)."""
+    head = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+v AS MATERIALIZED (SELECT vec_id, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x FROM kept, range({parts}) r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT p, e, x AS c FROM first JOIN v USING (vec_id))"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, min_by({{'e': e, 'd': d}}, d * {entries} + e) AS n
+  FROM (SELECT vec_id, v.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{r} USING (p))
+  GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT p, e, list(floor(s::DOUBLE / n)::BIGINT ORDER BY i) AS c
+  FROM (
+    SELECT p, e, i, sum(x[i]) AS s, count(*) AS n
+    FROM (SELECT v.p, a{r}.n.e AS e, x, unnest(range(1, len(x) + 1)) AS i FROM v JOIN a{r} USING (vec_id, p)) GROUP BY ALL)
+  GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (p, e))""")
+    tail = f"""
+coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', n.e), '' ORDER BY p) AS code, sum(n.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+    return ",".join([head, *steps, tail])
+
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 SQL: dict[str, str] = {
@@ -134,6 +173,7 @@ r AS (
 SELECT doc_id, size, source_size, target,
   (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
+    "op11_vector_codes": _vector_codes_sql(),
     "op13_target_resampling": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
