@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, lm_score, mixing, near_dup, quality, repeats, resample, secret_scan, token_count, token_file, url_filter, vector_codes
+from bidloom.llm import decontaminate, language, lm_score, mixing, near_dup, quality, repeats, resample, secret_scan, token_count, token_file, url_filter, vector_codes
 from bidloom.llm.common import table
 from bidloom.session import scratch_dir
 
@@ -73,6 +73,10 @@ def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return vector_codes.encode_with_errors(table(spark, sf, "embeddings"))
 
 
+def op12_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.predict(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op13_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
     drawn = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
         op9_mixing,
         op10_token_counts,
         op11_vector_codes,
+        op12_language,
         op13_target_resampling,
     )
 }
