@@ -27,6 +27,7 @@ from bidloom.llm.common import stored
 from bidloom.llm.words import runs, span_hashes, split_words
 
 DEPTH, HOT_SHARE, SAMPLE_DOCS = 4, 1 << 20, 16_384  # a gram of up to six context bytes fits a long
+BLOCK_GRAMS = 1 << 20  # grams of one step, whatever the length of a text
 _LOG10_HALF = float(np.log10(0.5))
 
 
@@ -102,18 +103,25 @@ REST = 256
 _TOP = 3  # contexts of so many bytes and more are weighed in tasks, each with everything below it
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of every byte and of the closing zero byte of each text, and its row; zero bytes stand before each text."""
+def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The gram of every byte and of the closing zero byte of each text, and its row, in blocks; zero bytes stand before each text."""
     n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets) + 1)
-    padded = np.zeros(len(data) + (depth + 1) * n + depth, np.int64)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    padded[np.arange(len(data)) + (depth + 1) * row + depth] = data
-    at = np.arange(len(owner)) + depth * (owner + 1)
-    grams = np.zeros(len(owner), np.int64)
-    for j in range(1, depth + 1):
-        grams = grams << 9 | padded[at - j]
-    return grams << 8 | padded[at], owner
+    begin = offsets[:-1] + np.arange(n)  # of each text among all bytes and closing bytes
+    padded = np.zeros(len(data) + (depth + 1) * n + depth, np.uint8)
+    for i in range(n):
+        at = offsets[i] + (depth + 1) * i + depth
+        padded[at : at + offsets[i + 1] - offsets[i]] = data[offsets[i] : offsets[i + 1]]
+    for low in range(0, len(data) + n, BLOCK_GRAMS):
+        at = np.arange(low, min(low + BLOCK_GRAMS, len(data) + n))
+        owner = np.searchsorted(begin, at, side="right") - 1
+        at += depth * (owner + 1)
+        grams = np.zeros(len(at), np.int64)
+        for j in range(1, depth + 1):
+            grams <<= 9
+            grams |= padded[at - j]
+        grams <<= 8
+        grams |= padded[at]
+        yield grams, owner
 
 
 def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -122,12 +130,12 @@ def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = batch.column(0).to_numpy(zero_copy_only=False)
-            for part, data, offsets in runs(batch.column(1), 8 << 20):
-                grams, owner = _grams(data, offsets, depth)
-                mine = train[part][owner]
-                for used, weight in ((mine, 1), (~mine, 0)):
-                    found, n = np.unique(grams[used], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64) * weight)], ["gram", "n"])
+            for part, data, offsets in runs(batch.column(1)):
+                for grams, owner in _grams(data, offsets, depth):
+                    mine = train[part][owner]
+                    for used, weight in ((mine, 1), (~mine, 0)):
+                        found, n = np.unique(grams[used], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64) * weight)], ["gram", "n"])
 
     return rows.select("train", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -274,24 +282,24 @@ def code_lengths(grams: DataFrame, contexts: int | None = None, depth: int = DEP
 
 
 def _gram_rows(rows: DataFrame, hot, depth: int) -> DataFrame:
-    """(doc, gram, n, logs): the sum over hot grams of each document under gram -1, and its other grams."""
+    """(doc, gram, logs): sums over hot grams of each document under gram -1, and its other grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, log = hot.value
         for batch in batches:
             docs = batch.column(0).to_numpy()
             for part, data, offsets in runs(batch.column(1)):
-                grams, owner = _grams(data, offsets, depth)
-                place, is_hot = _places(known, grams)
-                n_docs = len(offsets) - 1
-                sums = np.bincount(owner[is_hot], log[place[is_hot]], n_docs)
-                rare = grams[~is_hot]
-                arrays = [
-                    np.concatenate([docs[part], docs[part][owner[~is_hot]]]),
-                    np.concatenate([np.full(n_docs, -1), rare]),
-                    np.concatenate([sums, np.zeros(len(rare))]),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc", "gram", "logs"])
+                for grams, owner in _grams(data, offsets, depth):
+                    place, is_hot = _places(known, grams)
+                    first, n_docs = owner[0], owner[-1] - owner[0] + 1
+                    sums = np.bincount(owner[is_hot] - first, log[place[is_hot]], n_docs)
+                    rare, mine = grams[~is_hot], docs[part][first : first + n_docs]
+                    arrays = [
+                        np.concatenate([mine, docs[part][owner[~is_hot]]]),
+                        np.concatenate([np.full(n_docs, -1), rare]),
+                        np.concatenate([sums, np.zeros(len(rare))]),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc", "gram", "logs"])
 
     return rows.select("row", "text").mapInArrow(run, "doc bigint, gram bigint, logs double")
 
