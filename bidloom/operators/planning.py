@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,12 @@ def prune_negative_sets(curve: DataFrame) -> DataFrame:
 
 
 def _segment_arrays(curve: DataFrame, keys: Sequence[str], step: float, units: int, penalty: float) -> DataFrame:
-    """Penalised value by budget unit, one array per (keys, segment); off-grid slots are NULL.
+    """Penalised value by budget unit, one array per (keys, segment); slots without a level are NULL, budgets off the grid stop the job.
 
     The number of slots is the number of grid budgets, so the arrays have a fixed size.
     """
     unit = F.round(F.col("budget") / F.lit(step)).cast("int")
+    curve = guard_all_matched(curve, F.abs(F.col("budget") - unit * F.lit(step)) <= 1e-6 * step, "budget off the planning grid")
     worth = F.round(F.col("level") - F.lit(penalty) * F.col("budget"), 9)
     by_unit = F.map_from_entries(F.collect_list(F.struct(unit, worth)))
     return (
@@ -102,89 +105,114 @@ def _segment_arrays(curve: DataFrame, keys: Sequence[str], step: float, units: i
     )
 
 
-STATE = "struct<value:array<double>,picks:array<array<int>>>"
+def _fold(worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best value for each total spend over the rows of ``worth`` (segments, slots), and the units picked by each segment.
 
-
-def _fold(segments: Column, units: int) -> Column:
-    """Best value for each total spend over a sorted list of segments, with the units picked.
-
-    Adding a segment is a max-plus product: for a total of s units, the best split into b units for
-    this segment and s - b for the earlier ones; the smaller b wins a tie.
+    Adding a segment is a max-plus product: for a total of s units, the best split into b units for this segment and s - b for the
+    earlier ones; the smaller b wins a tie. Slots without a value are NaN and totals that cannot be reached minus infinity.
     """
-    start = F.struct(
-        F.transform(F.sequence(F.lit(0), F.lit(units)), lambda i: F.when(i == 0, F.lit(0.0))).alias("value"),
-        F.transform(F.sequence(F.lit(0), F.lit(units)), lambda i: F.array().cast("array<int>")).alias("picks"),
-    ).cast(STATE)
-
-    def add(state: Column, seg: Column) -> Column:
-        def best(s: Column) -> Column:
-            options = F.transform(
-                F.sequence(F.lit(0), s),
-                lambda b: F.struct(
-                    F.round(F.get(state["value"], s - b) + F.get(seg["worth"], b), 9).alias("v"), (-b).alias("nb")
-                ),
-            )
-            return F.array_max(F.filter(options, lambda o: o["v"].isNotNull()))
-
-        chosen = F.transform(F.sequence(F.lit(0), F.lit(units)), best)
-        return F.struct(
-            F.transform(chosen, lambda c: c["v"]).alias("value"),
-            F.transform(
-                chosen, lambda c, s: F.when(c.isNotNull(), F.array_append(F.get(state["picks"], s + c["nb"]), -c["nb"]))
-            ).alias("picks"),
-        ).cast(STATE)
-
-    return F.aggregate(segments, start, add)
-
-
-def _listed(arrays: DataFrame, keys: Sequence[str], units: int) -> DataFrame:
-    """Segments of each key in text order with their folded state."""
-    listed = arrays.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("segment", "keyword_set_id", "worth"))).alias("segments")
-    )
-    return listed.withColumn("state", _fold(F.col("segments"), units))
-
-
-def _plan_rows(solved: DataFrame, keys: Sequence[str], step: float, penalty: float) -> DataFrame:
-    """Explode (segments, picks, value, spent) into plan rows with budget and raw level."""
-    zipped = F.arrays_zip("segments", "picks")
-    rows = solved.select(*keys, "value", "spent", F.explode(zipped).alias("z"))
-    budget = F.col("z.picks") * F.lit(step)
-    worth = F.get(F.col("z.segments.worth"), F.col("z.picks"))
-    return rows.select(
-        *keys,
-        F.col("z.segments.segment").alias("segment"),
-        F.col("z.segments.keyword_set_id").alias("keyword_set_id"),
-        budget.alias("daily_budget"),
-        F.round(worth + F.lit(penalty) * budget, 9).alias("milp_pred"),
-        (F.col("spent") * F.lit(step)).alias("total_budget"),
-        F.col("value").alias("objective"),
-    )
+    worth = np.where(np.isnan(worth), -np.inf, worth)
+    slots = worth.shape[1]
+    total, split = np.arange(slots)[:, None], np.arange(slots)[None, :]
+    value = np.where(np.arange(slots) == 0, 0.0, -np.inf)
+    picks = np.zeros((slots, 0), np.int64)
+    for own in worth:
+        rest = total - split
+        options = np.where(rest >= 0, np.round(value[np.maximum(rest, 0)] + own[None, :], 9), -np.inf)
+        best = options.argmax(axis=1)
+        value = options[np.arange(slots), best]
+        picks = np.column_stack([picks[np.arange(slots) - best], best])
+    return value, picks
+
+
+def _best(worth: np.ndarray) -> tuple[float, list[int]] | None:
+    """Greatest value over all totals and its picks; the lower total wins a tie."""
+    value, picks = _fold(worth)
+    at = int(value.argmax())
+    return (float(value[at]), picks[at].tolist()) if np.isfinite(value[at]) else None
+
+
+def _best_in_order(regions: list[np.ndarray]) -> tuple[float, list[int]] | None:
+    """As ``_best`` over three regions whose totals must not rise from one to the next.
+
+    With the best value of the third region up to each total at hand, all pairs of the first two totals are compared: quadratic in slots.
+    Ties go to the lower total, then to the lower spend of the first and the second region.
+    """
+    (first, p1), (second, p2), (third, p3) = (_fold(w) for w in regions)
+    slots = len(first)
+    upto = np.maximum.accumulate(third)
+    least = np.maximum.accumulate(np.where(np.append(True, upto[1:] > upto[:-1]), np.arange(slots), 0))
+    u, a = np.arange(slots)[:, None], np.arange(slots)[None, :]
+    room = np.minimum(a, slots - 1 - u - a)
+    fits = (u >= a) & (room >= 0)
+    room = np.maximum(room, 0)
+    value = np.where(fits, np.round(first[:, None] + second[None, :] + upto[room], 9), -np.inf)
+    top = value.max()
+    if not np.isfinite(top):
+        return None
+    us, as_ = np.nonzero(value == top)
+    bs = least[room[us, as_]]
+    i = np.lexsort((bs, as_, us, us + as_ + bs))[0]
+    return float(top), [*p1[us[i]].tolist(), *p2[as_[i]].tolist(), *p3[bs[i]].tolist()]
+
+
+def _allocated(
+    arrays: DataFrame, keys: Sequence[str], units: int, step: float, penalty: float, order: Sequence[str] = (), caps: DataFrame | None = None
+) -> DataFrame:
+    """Plan rows of every key: its few segments in text order are one row, folded on their own, so keys spread over the cluster."""
+    entry = F.struct("segment", "keyword_set_id", "worth")
+    listed = arrays.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("segments"))
+    if caps is not None:
+        shared = [k for k in keys if k in caps.columns]
+        listed = listed.join(caps.select(*shared, "cap"), shared)
+    most = F.lit(units) if caps is None else F.least(F.lit(units), F.floor(F.col("cap") / F.lit(step) + 1e-9)).cast("int")
+    parts = [F.col(f"segments.{c}").alias(c) for c in ("segment", "keyword_set_id", "worth")]
+    flat = listed.select(*keys, *parts, most.alias("units"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "segment", "keyword_set_id", "daily_budget", "milp_pred", "total_budget", "objective"]
+        for batch in batches:
+            rows, of, columns = batch.column(len(keys) + 2), [], [[], [], [], [], [], []]
+            segments, sets, tops = (batch.column(len(keys) + j).to_pylist() for j in (0, 1, 3))
+            for i in range(batch.num_rows):
+                worth = np.array([[np.nan if v is None else v for v in w] for w in rows[i].as_py()], float).reshape(-1, units + 1)[:, : tops[i] + 1]
+                place = list(range(len(worth)))
+                if order:
+                    region = np.array([s.split(" / ")[0].strip() for s in segments[i]])
+                    place = [j for r in order for j in place if region[j] == r]
+                    found = _best_in_order([worth[region == r] for r in order])
+                else:
+                    found = _best(worth)
+                if found is None:
+                    continue
+                value, picks = found
+                for j, u in zip(place, picks):
+                    of.append(i)
+                    level = round(worth[j, u] + penalty * (u * step), 9)
+                    for column, x in zip(columns, (segments[i][j], sets[i][j], u * step, level, sum(picks) * step, value)):
+                        column.append(x)
+            kinds = [pa.string(), pa.string(), *[pa.float64()] * 4]
+            at = pa.array(of, pa.int64())
+            arrays = [*[batch.column(k).take(at) for k in range(len(keys))], *[pa.array(c, k) for c, k in zip(columns, kinds)]]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    kinds = ", ".join(f"`{k}` {arrays.schema[k].dataType.simpleString()}" for k in keys)
+    return flat.mapInArrow(run, f"{kinds}, segment string, keyword_set_id string, daily_budget double, milp_pred double, total_budget double, objective double")
 
 
 def allocate_budgets(
-    curve: DataFrame, cap: float, step: float, penalty: float = 0.0001, keys: Sequence[str] = ("date",)
+    curve: DataFrame, cap: float, step: float, penalty: float = 0.0001, keys: Sequence[str] = ("date",), caps: DataFrame | None = None
 ) -> DataFrame:
     """Budgets per segment that maximise total level minus the spend penalty under a daily cap.
 
     ``curve`` has one set per (keys, segment) with (budget, level) on the grid. Every key is one row
-    holding its few segments and a state of cap/step slots; keys are independent, so days and
-    accounts spread over the cluster with one shuffle. Exact on the grid; ties take the lower spend.
+    holding its few segments with cap/step slots each; keys are independent, so days and accounts
+    spread over the cluster with one shuffle. Exact on the grid; ties take the lower spend. ``caps``
+    (some of the keys, cap) lowers the cap of each key.
     """
     units = int(cap / step + 1e-9)
     keys = list(keys)
-    folded = _listed(_segment_arrays(curve, keys, step, units, penalty), keys, units)
-    options = F.filter(
-        F.transform(F.col("state.value"), lambda v, s: F.struct(v.alias("v"), (-s).alias("ns"))),
-        lambda o: o["v"].isNotNull(),
-    )
-    solved = folded.withColumn("best", F.array_max(options)).select(
-        *keys, "segments",
-        F.get(F.col("state.picks"), -F.col("best.ns")).alias("picks"),
-        F.col("best.v").alias("value"),
-        (-F.col("best.ns")).alias("spent"),
-    )
-    return _plan_rows(solved, keys, step, penalty)
+    return _allocated(_segment_arrays(curve, keys, step, units, penalty), keys, units, step, penalty, caps=caps)
 
 
 def allocate_ordered(
@@ -194,6 +222,7 @@ def allocate_ordered(
     order: Sequence[str] = ("USA", "A", "B"),
     penalty: float = 0.0001,
     keys: Sequence[str] = ("date",),
+    caps: DataFrame | None = None,
 ) -> DataFrame:
     """As :func:`allocate_budgets` with region spend in the given order (first spends most).
 
@@ -204,50 +233,8 @@ def allocate_ordered(
         raise ValueError("the regional order names three regions")
     units = int(cap / step + 1e-9)
     keys = list(keys)
-    arrays = _segment_arrays(curve, keys, step, units, penalty).withColumn("region", T.region_of_segment())
-    arrays = guard_all_matched(arrays, F.col("region").isin(*order), "segment outside the regional order")
-    per_region = _listed(arrays, [*keys, "region"], units)
-
-    def of(region: str, field: Column) -> Column:
-        return F.max_by(field, F.when(F.col("region") == region, F.lit(1)))
-
-    def slot(i: int, s: Column) -> Column:
-        empty = F.when(s == 0, F.lit(0.0))
-        state = F.col(f"s{i}")
-        return F.when(state.isNull(), empty).otherwise(F.get(state["value"], s))
-
-    grouped = per_region.groupBy(*keys).agg(
-        *[of(r, F.col("state")).alias(f"s{i}") for i, r in enumerate(order)],
-        *[of(r, F.col("segments")).alias(f"g{i}") for i, r in enumerate(order)],
-    )
-    n = F.lit(units)
-    third = F.sequence(F.lit(0), F.floor(n / 3).cast("int"))
-    options = F.flatten(F.transform(third, lambda b: F.flatten(F.transform(
-        F.sequence(b, F.floor((n - b) / 2).cast("int")),
-        lambda a: F.transform(
-            F.sequence(a, n - a - b),
-            lambda u: F.struct(
-                F.round(slot(0, u) + slot(1, a) + slot(2, b), 9).alias("v"),
-                (-(u + a + b)).alias("ns"), (-u).alias("nu"), (-a).alias("na"), (-b).alias("nb"),
-            ),
-        ),
-    ))))
-    best = grouped.withColumn("best", F.array_max(F.filter(options, lambda o: o["v"].isNotNull())))
-    nothing = F.array().cast("array<int>")
-
-    def picks(i: int, field: str) -> Column:
-        state = F.col(f"s{i}")
-        return F.when(state.isNull(), nothing).otherwise(F.get(state["picks"], -F.col(f"best.{field}")))
-
-    no_segments = F.array().cast(per_region.schema["segments"].dataType)
-    solved = best.select(
-        *keys,
-        F.concat(*[F.coalesce(F.col(f"g{i}"), no_segments) for i in range(3)]).alias("segments"),
-        F.concat(picks(0, "nu"), picks(1, "na"), picks(2, "nb")).alias("picks"),
-        F.col("best.v").alias("value"),
-        (-F.col("best.ns")).alias("spent"),
-    )
-    return _plan_rows(solved, keys, step, penalty)
+    known = guard_all_matched(curve, T.region_of_segment().isin(*order), "segment outside the regional order")
+    return _allocated(_segment_arrays(known, keys, step, units, penalty), keys, units, step, penalty, order, caps)
 
 
 def price_sweep(
