@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 from itertools import product
 from typing import Any
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.config import Config
+from bidloom.models import day_sums as S
 from bidloom.models import design as D
 from bidloom.operators import splits as V
 from bidloom.operators.panel import usable_rows
@@ -34,6 +37,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 ENSEMBLES = {"ensemble": ["ridge", "random_forest", "xgboost"], "ensemble_ridge_xgb": ["ridge", "xgboost"]}
 POOR_R2 = 0.3
 SEED = 42
+PARALLEL_JOBS = 4
 
 
 @dataclass
@@ -137,42 +141,97 @@ class FoldError(RuntimeError):
     """A validation fold failed to fit or score."""
 
 
-def folds_of(train: DataFrame, config: Config) -> list[tuple[int, DataFrame, DataFrame]]:
-    """(fold, training rows, validation rows) with day bounds pushed into the frame as filters."""
-    days = V.fold_days(train, config.model_policy.validation)
-    spans = days.groupBy("fold").agg(
-        F.max(F.when(F.col("role") == "train", F.col("date"))).alias("cut"), F.max("date").alias("end")
-    ).orderBy("fold").collect()
-    if not spans:
-        spans = V.fallback_days(train).groupBy("fold").agg(
-            F.max(F.when(F.col("role") == "train", F.col("date"))).alias("cut"), F.max("date").alias("end")
-        ).collect()
-    out = []
-    for s in spans:
-        val = train.filter((F.col("date") > F.lit(s["cut"])) & (F.col("date") <= F.lit(s["end"])))
-        out.append((s["fold"], train.filter(F.col("date") <= F.lit(s["cut"])), val))
-    return out
-
-
-def cross_validate(name: str, train: DataFrame, config: Config, params: dict[str, Any] | None = None, folds=None,
-                   member_params: dict[str, dict] | None = None, weights: Sequence[float] | None = None) -> dict[str, float]:
-    """Mean level metrics over the folds; all fold predictions are scored in one job."""
-    folds = folds_of(train, config) if folds is None else folds
-    scored = None
-    for number, rows, val in folds:
+class Folds:
+    """Folds of a frame: (number, training rows, validation rows) with day bounds pushed into the frame as filters.
+
+    The day sums of all folds are taken once, when a ridge first asks for them.
+    """
+
+    def __init__(self, train: DataFrame, config: Config):
+        days = V.fold_days(train, config.model_policy.validation)
+        spans = self._spans(days)
+        self.spans = spans or self._spans(V.fallback_days(train))
+        self.train, self.config = train, config
+
+    @staticmethod
+    def _spans(days: DataFrame) -> list[tuple]:
+        cut = F.max(F.when(F.col("role") == "train", F.col("date"))).alias("cut")
+        found = days.groupBy("fold").agg(cut, F.max("date").alias("end")).orderBy("fold").collect()
+        return [(r["fold"], r["cut"], r["end"]) for r in found]
+
+    @cached_property
+    def sums(self) -> S.DaySums:
+        return S.day_sums(self.train, self.config)
+
+    def __len__(self) -> int:
+        return len(self.spans)
+
+    def __iter__(self) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+        for number, cut, end in self.spans:
+            val = self.train.filter((F.col("date") > F.lit(cut)) & (F.col("date") <= F.lit(end)))
+            yield number, self.train.filter(F.col("date") <= F.lit(cut)), val
+
+
+def folds_of(train: DataFrame, config: Config) -> Folds:
+    return Folds(train, config)
+
+
+def in_parallel(run: Callable[[Any], Any], items: Sequence[Any], jobs: int = PARALLEL_JOBS) -> list[Any]:
+    """``run`` of every item in order, at most ``jobs`` at a time; their Spark jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=jobs) as pool:
+        return list(pool.map(run, items))
+
+
+def _mean_metrics(name: str, per_fold: list[dict]) -> dict[str, float]:
+    found = [m for m in per_fold if m]
+    if not found:
+        raise FoldError(f"no validation rows for {name}")
+
+    def mean(key: str) -> float | None:
+        values = [m[key] for m in found if m[key] is not None]
+        return sum(values) / len(values) if values else None
+
+    return {"cv_rmse_levels": mean("rmse"), "cv_r2_levels": mean("r2"), "cv_mae_levels": mean("mae"), "cv_n_folds": len(found)}
+
+
+def validate_ridge(folds: Folds, alphas: Sequence[float]) -> list[dict[str, float]]:
+    """Mean fold metrics of every penalty: one job for the sums of all folds, one for their scores."""
+    try:
+        levels = [folds.sums.fits([(cut, alpha) for alpha in alphas]) for _, cut, _ in folds.spans]
+    except Exception as exc:
+        raise FoldError(f"a fold of {len(folds)} failed for ridge: {exc}") from exc
+    scored = S.fold_metrics(folds.train, folds.sums, folds.config.target, folds.spans, levels)
+    return [_mean_metrics("ridge", [fold[i] for fold in scored]) for i in range(len(alphas))]
+
+
+def validate_all(name: str, config: Config, settings: Sequence[dict[str, Any]], folds: Folds,
+                 member_params: dict[str, dict] | None = None, weights: Sequence[float] | None = None) -> list[dict[str, float]]:
+    """Mean fold metrics of every setting; fits of all folds and settings run side by side and are scored in one job."""
+    if name == "ridge":
+        return validate_ridge(folds, [{**DEFAULTS["ridge"], **p}["alpha"] for p in settings])
+    tasks = [(i, p, *fold) for i, p in enumerate(settings) for fold in folds]
+
+    def scored(task: tuple) -> DataFrame:
+        i, params, number, rows, val = task
         try:
             model = fit_any(name, rows, config, params, member_params, weights)
-            part = model.predict(usable_rows(val, config.target), "_p").select(
-                F.lit(number).alias("fold"), F.col(config.target).cast("double").alias("y"), "_p"
+            return model.predict(usable_rows(val, config.target), "_p").select(
+                F.lit(i).alias("setting"), F.lit(number).alias("fold"), F.col(config.target).cast("double").alias("y"), "_p"
             )
         except Exception as exc:
             raise FoldError(f"fold {number} of {len(folds)} failed for {name}: {exc}") from exc
-        scored = part if scored is None else scored.unionByName(part)
-    per_fold = level_metrics(scored, "y", "_p", ["fold"])
-    row = per_fold.agg(F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("n")).first()
-    if not row["n"]:
-        raise FoldError(f"no validation rows for {name}")
-    return {"cv_rmse_levels": row["rmse"], "cv_r2_levels": row["r2"], "cv_mae_levels": row["mae"], "cv_n_folds": row["n"]}
+
+    rows = level_metrics(reduce(DataFrame.unionByName, in_parallel(scored, tasks)), "y", "_p", ["setting", "fold"]).collect()
+    by_setting: list[list[dict]] = [[] for _ in settings]
+    for r in rows:
+        by_setting[r["setting"]].append(r.asDict())
+    return [_mean_metrics(name, found) for found in by_setting]
+
+
+def cross_validate(name: str, train: DataFrame, config: Config, params: dict[str, Any] | None = None, folds: Folds | None = None,
+                   member_params: dict[str, dict] | None = None, weights: Sequence[float] | None = None) -> dict[str, float]:
+    """Mean level metrics over the folds."""
+    return validate_all(name, config, [params or {}], folds or folds_of(train, config), member_params, weights)[0]
 
 
 def param_maps(grid: dict[str, list[Any]]) -> list[dict[str, Any]]:
@@ -183,8 +242,8 @@ def tune(name: str, train: DataFrame, config: Config, grid: dict[str, list[Any]]
     """Parameters with the lowest fold RMSE; the first of equals stays."""
     folds = folds_of(train, config) if folds is None else folds
     best, best_cv = {}, {"cv_rmse_levels": float("inf")}
-    for params in param_maps(GRIDS.get(name, {}) if grid is None else grid):
-        cv = cross_validate(name, train, config, params, folds)
+    settings = param_maps(GRIDS.get(name, {}) if grid is None else grid)
+    for params, cv in zip(settings, validate_all(name, config, settings, folds)):
         if cv["cv_rmse_levels"] < best_cv["cv_rmse_levels"]:
             best, best_cv = params, cv
     return best, best_cv
@@ -277,11 +336,28 @@ def metrics_frame(spark: SparkSession, result: Tournament) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in result.table], METRICS_SCHEMA)
 
 
-def fit_winner(frame: DataFrame, config: Config, manifest: dict[str, Any], before: str | None = None) -> Fitted:
-    """Refit the configured model with its recorded parameters, on rows before a day if given."""
+def winner_params(frame: DataFrame, config: Config, manifest: dict[str, Any], tune_on_slice: bool) -> dict[str, dict]:
+    """Parameters of the planning model or its members: tuned on the frame, or as recorded; a missing record is an error."""
+    name = config.model_policy.optimizer_winner
+    if name in ENSEMBLES and name != "ensemble_ridge_xgb":
+        raise ValueError(f"planning does not support {name!r}")
+    singles = ENSEMBLES.get(name, [name])
+    if tune_on_slice:
+        folds = folds_of(frame, config)
+        return {m: tune(m, frame, config, folds=folds)[0] for m in singles}
+    recorded = manifest.get("params", {})
+    absent = [m for m in singles if m not in recorded and GRIDS.get(m, {}) != {}]
+    if absent:
+        raise ValueError(f"the manifest has no parameters for {absent}")
+    return {m: recorded.get(m, {}) for m in singles}
+
+
+def fit_winner(frame: DataFrame, config: Config, manifest: dict[str, Any], before: str | None = None, tune_on_slice: bool = False) -> Fitted:
+    """Refit the planning model on rows before a day, if given, with recorded parameters or with ones tuned on these rows."""
     name = config.model_policy.optimizer_winner
     rows = frame if before is None else frame.filter(F.col("date") < F.to_date(F.lit(before)))
-    return fit_any(name, rows, config, manifest.get("params", {}).get(name), manifest.get("params"))
+    params = winner_params(rows, config, manifest, tune_on_slice)
+    return fit_any(name, rows, config, params.get(name), params)
 
 
 def evaluation_model(frame: DataFrame, config: Config, manifest: dict[str, Any]) -> tuple[Fitted, dict[str, Any]]:
