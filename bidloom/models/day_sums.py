@@ -71,6 +71,14 @@ class DaySums:
             out[i] = self._solved(plain, faded, alpha)
         return out
 
+    def means(self, days: Sequence[Day]) -> list[Level]:
+        """The mean target of all rows up to and including each day."""
+        out = []
+        for until in days:
+            total = self.products[[d <= until for d in self.days]].sum(axis=0)
+            out.append(Level(float(total[0, -1] / total[0, 0]) if len(self.days) and total[0, 0] else 0.0, np.zeros(len(self.names))))
+        return out
+
     def _solved(self, plain: np.ndarray, faded: np.ndarray, alpha: float) -> Level:
         n = len(self.names)
         change = self._own_scale(plain)

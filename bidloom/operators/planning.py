@@ -62,13 +62,14 @@ def rows_at_plan_budgets(plan: DataFrame, rows: DataFrame) -> DataFrame:
 def apply_budget_floor(
     rows: DataFrame, minimums: DataFrame, level: str, out: str, atol: float = 0.01, budget: str = "daily_budget"
 ) -> DataFrame:
-    """Level 0 where the cent-rounded budget plus tolerance is under the segment's minimum.
+    """Level 0 where the cent-rounded budget plus tolerance is under the segment's minimum, or that of its day if ``minimums`` has days.
 
     Negative levels above the floor are kept.
     """
     low = F.coalesce(F.col("min_budget"), F.lit(0.0))
     below = T.half_even(budget, 2) + F.lit(max(atol, 0.0)) < low
-    return rows.join(minimums.select("segment", "min_budget"), "segment", "left").withColumn(
+    on = ["date", "segment"] if "date" in minimums.columns else ["segment"]
+    return rows.join(minimums.select(*on, "min_budget"), on, "left").withColumn(
         out, F.when(below, F.lit(0.0)).otherwise(F.col(level))
     ).drop("min_budget")
 
