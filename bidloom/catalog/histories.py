@@ -282,17 +282,15 @@ def w8(spark, sf):
 
 
 @query("u3_keyword_differences", """
-WITH r AS (SELECT DISTINCT region AS g, keyword FROM kw_day WHERE match_type = 'Broad' AND region IS NOT NULL AND year(date) = 1995),
-l AS (SELECT DISTINCT region AS g, keyword FROM kw_day WHERE match_type = 'Exact' AND region IS NOT NULL AND year(date) = 2001)
-SELECT g AS region, coalesce((SELECT string_agg(keyword, '; ' ORDER BY keyword) FROM r WHERE r.g = x.g AND keyword NOT IN (SELECT keyword FROM l WHERE l.g = x.g)), '') AS raw_only,
- coalesce((SELECT string_agg(keyword, '; ' ORDER BY keyword) FROM l WHERE l.g = x.g AND keyword NOT IN (SELECT keyword FROM r WHERE r.g = x.g)), '') AS log_only
-FROM (SELECT DISTINCT region AS g FROM kw_day WHERE region IS NOT NULL) x""")
+WITH r AS (SELECT DISTINCT region, keyword FROM kw_day WHERE match_type = 'Broad' AND region IS NOT NULL),
+l AS (SELECT DISTINCT region, keyword FROM kw_day WHERE match_type = 'Exact' AND region IS NOT NULL)
+SELECT region, keyword, 'raw_only' AS side FROM (SELECT * FROM r EXCEPT SELECT * FROM l)
+UNION ALL SELECT region, keyword, 'log_only' FROM (SELECT * FROM l EXCEPT SELECT * FROM r)""")
 def u3(spark, sf):
-    days = R.kw_day(spark, sf).filter("region IS NOT NULL")
-    pick = lambda mt, y: F.array_sort(F.collect_set(F.when((F.col("match_type") == mt) & (F.year("date") == y), F.col("keyword"))))
-    sets = days.groupBy("region").agg(pick("Broad", 1995).alias("raw"), pick("Exact", 2001).alias("log"))
-    return sets.select("region", F.array_join(F.array_except("raw", "log"), "; ").alias("raw_only"),
-                       F.array_join(F.array_except("log", "raw"), "; ").alias("log_only"))
+    from bidloom.operators import keyword_sets as K
+    seen = cut_lineage(R.kw_day(spark, sf).filter("region IS NOT NULL").select("region", "match_type", "keyword").distinct())
+    pick = lambda mt: seen.filter(F.col("match_type") == mt).select("region", "keyword")
+    return K.keyword_differences(pick("Broad"), pick("Exact"), ["region"])
 
 
 @query("u4_set_similarity", """

@@ -18,9 +18,6 @@ from bidloom.operators import splits as V
 from bidloom.session import cut_lineage, scratch_dir
 from bidloom.streaming import jobs
 
-SMALL_GRIDS = {"ridge": {"alpha": [10.0, 100.0]}, "random_forest": {"n_estimators": [5], "max_depth": [2], "min_samples_leaf": [20]},
-               "xgboost": {"n_estimators": [5], "max_depth": [2], "learning_rate": [0.1, 0.3]}}
-
 
 def frame(spark, sf):
     return cut_lineage(modeling_frame(spark, sf))
@@ -118,7 +115,7 @@ def m10(spark, sf):
 
 @query("m11_tournament")
 def m11(spark, sf):
-    result = M.run_tournament(modeling_frame(spark, sf), _cfg(), ["mean_baseline", "ridge", "random_forest", "xgboost", "ensemble_ridge_xgb"], SMALL_GRIDS)
+    result = M.run_tournament(modeling_frame(spark, sf), _cfg(), ["mean_baseline", *_cfg().model_policy.candidates])
     return M.metrics_frame(spark, result).withColumn("is_winner", F.col("model") == result.winner)
 
 
@@ -160,7 +157,7 @@ def m14(spark, sf):
 @query("m15_manifest")
 def m15(spark, sf):
     cfg = load_config({"model_policy": {"optimizer_winner": "ridge"}})
-    result = M.run_tournament(modeling_frame(spark, sf), cfg, ["mean_baseline", "ridge"], {"ridge": {"alpha": [10.0]}})
+    result = M.run_tournament(modeling_frame(spark, sf), cfg)
     path = scratch_dir(spark, "models")
     M.save_manifest(spark, path, result)
     manifest = M.load_manifest(spark, path)
@@ -181,13 +178,50 @@ def m17(spark, sf):
     return rounded(M.ridge_terms(spark, model), 9, "value")
 
 
-@query("o10_walk_forward")
-def o10(spark, sf):
-    from bidloom.plans.backtest import walk_forward
+@query("m12_tuned_refit")
+def m12t(spark, sf):
+    """The planning model tuned and fitted on the rows before a day, and its levels from then on."""
     rows = frame(spark, sf)
-    days = [r["date"] for r in rows.select("date").distinct().orderBy(F.col("date").desc()).limit(3).collect()]
     cfg = load_config({"model_policy": {"optimizer_winner": "ridge"}})
-    return walk_forward(rows, cfg, {"params": {}}, sorted(days), step=20.0)
+    model = M.fit_winner(rows, cfg, {}, before="2001-01-01", tune_on_slice=True)
+    return model.predict(rows.filter("date >= DATE '2001-01-01'"), "predicted").select(
+        "date", "segment", F.round("predicted", 6).alias("predicted"), F.lit(model.params["alpha"]).alias("alpha"))
+
+
+@query("o2_model_curve")
+def o2m(spark, sf):
+    """Pieces of the boosted trees' response for every known set on the days after the panel."""
+    from datetime import timedelta
+
+    from bidloom.functions import calendar as CAL
+    from bidloom.models.response import response_curve
+    from bidloom.operators import planning as O
+    from bidloom.plans.backtest import known_sets
+    cfg, rows = _cfg(), frame(spark, sf)
+    last = rows.agg(F.max("date")).first()[0]
+    start, end = last + timedelta(days=1), last + timedelta(days=14)
+    sets, features = known_sets(rows, start, cfg.static_columns())
+    calendar = CAL.planning_calendar(spark, str(start), str(end), list(cfg.constraints.regional_order), cfg.start_dates, cfg.context_features["calendar"])
+    wanted = O.candidate_rows(sets, features, calendar, [c for c in cfg.feature_columns() if c in rows.columns], str(start), str(end))
+    curve = response_curve(M.fit("xgboost", rows, cfg), wanted, 0.0, cfg.constraints.daily_budget_cap)
+    return rounded(curve.select("date", "segment", "keyword_set_id", "from_budget", "to_budget", F.col("from_level").alias("level")), 6, "level")
+
+
+def _backtest(spark, sf, winner, cap):
+    """Every day of the holdout window, planned by fits on the rows before it."""
+    from datetime import timedelta
+
+    from bidloom.plans.backtest import two_stage_backtest
+    rows = frame(spark, sf)
+    cfg = load_config({"start_dates": list(R.STARTS), "model_policy": {"optimizer_winner": winner}})
+    last = rows.agg(F.max("date")).first()[0]
+    start = last - timedelta(days=cfg.model_policy.validation.holdout_days - 1)
+    return two_stage_backtest(rows, cfg, {"params": {"ridge": {"alpha": 10.0}}}, start, last, step=20.0, cap=cap)
+
+
+@query("o10_walk_forward")
+def o10(spark, sf):
+    return _backtest(spark, sf, "ridge", 0).days
 
 
 # --- streams -------------------------------------------------------------------------------

@@ -76,25 +76,31 @@ def w13(spark, sf):
     return top_terms(part.groupBy(F.col("p_name").alias("term")).agg(F.round(F.avg("p_size") - 25, 6).alias("value")))
 
 
+def span(df, date="date"):
+    """First and last day of a table, as text."""
+    lo, hi = df.agg(F.min(date), F.max(date)).first()
+    return str(lo), str(hi)
+
+
 @query("w14_missing_days", """
-SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d)
-WHERE d NOT IN (SELECT date FROM segment_panel WHERE region = 'A')""")
+WITH o AS (SELECT min(date) AS lo, max(date) AS hi FROM segment_panel),
+d AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM o)
+SELECT segment, date FROM (SELECT DISTINCT segment FROM segment_panel) s CROSS JOIN d
+WHERE NOT EXISTS (SELECT 1 FROM segment_panel p WHERE p.date = d.date AND p.segment IS NOT DISTINCT FROM s.segment)""")
 def w14(spark, sf):
-    seen = R.segment_panel(spark, sf).filter("region = 'A'")
-    return V.missing_days(spark, "1995-01-01", "2001-12-31", seen)
+    rows = cut_lineage(R.segment_panel(spark, sf).select("segment", "date").distinct())
+    return V.missing_days_of(*span(rows), rows, ["segment"])
 
 
 @query("w15_week_dates", """
 WITH o AS (SELECT min(date) AS lo, max(date) AS hi FROM panel),
-d AS (SELECT CAST(unnest(generate_series(DATE '2000-03-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
-SELECT greatest(CAST(date_trunc('week', date) AS DATE), DATE '2000-03-01') AS week_start, date, CAST(count(p.date) AS BIGINT) AS n_rows
-FROM d LEFT JOIN panel p USING (date) WHERE date < greatest(CAST(date_trunc('week', date) AS DATE), DATE '2000-03-01') + 7 GROUP BY ALL""")
+w AS (SELECT DISTINCT greatest(CAST(date_trunc('week', d) AS DATE), lo) AS week_start, hi FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d, lo, hi FROM o)),
+d AS (SELECT week_start, CAST(unnest(generate_series(week_start, least(week_start + 6, hi), INTERVAL 1 DAY)) AS DATE) AS date FROM w)
+SELECT week_start, date, CAST(count(p.date) AS BIGINT) AS n_rows FROM d LEFT JOIN panel p USING (date) GROUP BY ALL""")
 def w15(spark, sf):
-    weeks = V.week_dates(spark, "2000-03-01", "2000-12-31")
-    counts = R.panel(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
-    # the opening partial week starts on the window's first day and lists seven days; keep its own week
-    own = weeks.filter(F.date_trunc("week", "date").cast("date") <= F.col("week_start"))
-    return own.join(counts, "date", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    panel = R.panel(spark, sf)
+    counts = cut_lineage(panel.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows")))
+    return V.week_dates(spark, *span(counts)).join(counts, "date", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 # --- response curve ------------------------------------------------------------------------
@@ -223,6 +229,16 @@ def o6(spark, sf):
         "date", "segment", "keyword_set_id", "daily_budget", "plan_value", "upper_bound")
 
 
+@query("o6_coupled_sets")
+def o6c(spark, sf):
+    """Sets and budgets of the window under the cap of each day and the regional order, with the gap to the bound."""
+    from bidloom.operators.coupled import select_sets_coupled
+    pruned = O.prune_negative_sets(cut_lineage(curve(spark, sf)).withColumnRenamed("budget", "daily_budget")).withColumnRenamed("daily_budget", "budget")
+    days = [r["date"] for r in pruned.select("date").distinct().collect()]
+    return select_sets_coupled(pruned, dict.fromkeys(days, CAP), STEP, penalty=PENALTY).select(
+        "date", "segment", "keyword_set_id", "daily_budget", "plan_value", "upper_bound", "gap")
+
+
 def region_fold(r: str) -> str:
     return fold_sql("fc", [f"{r} / Broad", f"{r} / Phrase; Exact"], UNITS, r.lower())
 
@@ -368,11 +384,15 @@ def q4(spark, sf):
     return rounded(_tidy(out), 6, "actual_model_level_total", "act_budget_total").drop("pred_level_total", "opt_budget_total", "market_observed_total")
 
 
-@query("q5_weekly_scores", f"""WITH {COMP} SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, segment, round(sum(pred_level), 6) AS pred_level, round(sum(actual_model_level), 6) AS actual_model_level,
- round(sum(observed_{TARGET}), 6) AS observed_{TARGET}, sum(observed_clicks) AS observed_clicks, CAST(count(*) AS BIGINT) AS n_days FROM comp WHERE date BETWEEN DATE '1999-01-04' AND DATE '1999-12-26' GROUP BY 1, 2""")
+@query("q5_weekly_scores", f"""WITH {COMP}, o AS (SELECT min(date) AS lo, max(date) AS hi FROM comp),
+wk AS (SELECT DISTINCT greatest(CAST(date_trunc('week', d) AS DATE), lo) AS week_start, hi FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d, lo, hi FROM o)),
+wd AS (SELECT week_start, CAST(unnest(generate_series(week_start, least(week_start + 6, hi), INTERVAL 1 DAY)) AS DATE) AS date FROM wk)
+SELECT week_start, segment, round(sum(pred_level), 6) AS pred_level, round(sum(actual_model_level), 6) AS actual_model_level,
+ round(sum(observed_{TARGET}), 6) AS observed_{TARGET}, sum(observed_clicks) AS observed_clicks, CAST(count(*) AS BIGINT) AS n_days FROM comp JOIN wd USING (date) GROUP BY 1, 2""")
 def q5(spark, sf):
-    weeks = V.week_dates(spark, "1999-01-04", "1999-12-26")
-    return rounded(Q.weekly_scores(comparison(spark, sf), TARGET, weeks), 6, "pred_level", "actual_model_level", f"observed_{TARGET}")
+    daily = cut_lineage(comparison(spark, sf))
+    weeks = V.week_dates(spark, *span(daily))
+    return rounded(Q.weekly_scores(daily, TARGET, weeks), 6, "pred_level", "actual_model_level", f"observed_{TARGET}")
 
 
 DAILY_SQL = f"""

@@ -204,7 +204,25 @@ def e6(spark, sf):
     return out.select("pool", "keyword", F.round("mean_distance", 6).alias("mean_distance"), "rank_sum", "pos")
 
 
-@query("e7_greedy_dispersion")
+def greedy_sql(name: str, source: str, keys: str, n: int) -> str:
+    """Recursive table (keys, keyword, pos, words, s, u): each step adds the keyword that leaves the list's dispersion largest."""
+    on = ", ".join(f"g.{k}" for k in keys.split(", "))
+    total, unit = "list_transform(list_zip(g.s, v.embedding), lambda z: z[1] + z[2])", "list_transform(list_zip(g.u, v.embedding), lambda z: z[1] + z[2] / greatest(sqrt(list_dot_product(v.embedding, v.embedding)), 1e-12::DOUBLE))"
+    return f"""
+{name} AS (
+  SELECT {keys}, min(keyword) AS keyword, 1 AS pos, [min(keyword)] AS words, arg_min(embedding, keyword) AS s,
+    list_transform(arg_min(embedding, keyword), lambda x: x / greatest(sqrt(list_dot_product(arg_min(embedding, keyword), arg_min(embedding, keyword))), 1e-12::DOUBLE)) AS u
+  FROM {source} GROUP BY {keys}
+  UNION ALL
+  SELECT {keys}, keyword, pos, words, s, u FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY 1 - list_dot_product(u, s) / pos / (pos * (sqrt(list_dot_product(s, s)) / pos + 1e-12::DOUBLE)) DESC, keyword) AS r
+    FROM (
+      SELECT {on}, v.keyword, g.pos + 1 AS pos, list_append(g.words, v.keyword) AS words, {total} AS s, {unit} AS u
+      FROM {name} g JOIN {source} v USING ({keys}) WHERE g.pos < {n} AND NOT list_contains(g.words, v.keyword)))
+  WHERE r = 1)"""
+
+
+@query("e7_greedy_dispersion", f"WITH RECURSIVE {greedy_sql('gd', 'vectors', 'pool', 10)} SELECT pool, keyword, CAST(pos AS INTEGER) AS pos FROM gd")
 def e7(spark, sf):
     return E.top_by_dispersion(R.vectors(spark, sf), ["pool"], 10)
 
@@ -316,30 +334,32 @@ wp AS (SELECT DISTINCT p.region, p.match_type, p.keyword FROM pool p JOIN sp USI
 kv AS (SELECT w.region, w.match_type, w.keyword, k.sim, v.embedding FROM wp w JOIN kv_sims k USING (keyword) JOIN keyword_vectors v USING (keyword)),
 kd AS (SELECT a.region, a.match_type, a.keyword, any_value(a.sim) AS sim, coalesce(round(avg(list_distance(a.embedding, b.embedding)), 9), 0) AS d
   FROM kv a LEFT JOIN kv b ON a.region = b.region AND a.match_type = b.match_type AND a.keyword <> b.keyword GROUP BY ALL),
+kw AS (SELECT region, match_type, keyword, embedding FROM kv),
+{greedy_sql('gk', 'kw', 'region, match_type', 40)},
 kr AS (SELECT *, rank() OVER (PARTITION BY region, match_type ORDER BY sim DESC) + rank() OVER (PARTITION BY region, match_type ORDER BY round(d, 7) DESC) AS s FROM kd),
 rk AS (SELECT region, match_type, family, keyword, pos FROM tc WHERE (region, match_type) IN (SELECT region, match_type FROM sp)
   UNION ALL SELECT region, match_type, 'allowlist', keyword, row_number() OVER (PARTITION BY region, match_type ORDER BY priority) FROM wp JOIN allowlist USING (keyword)
   UNION ALL SELECT region, match_type, 'semantic', keyword, row_number() OVER (PARTITION BY region, match_type ORDER BY sim DESC, keyword) FROM kv
+  UNION ALL SELECT region, match_type, 'dispersion', keyword, pos FROM gk
   UNION ALL SELECT region, match_type, 'composite', keyword, row_number() OVER (PARTITION BY region, match_type ORDER BY s, keyword) FROM kr),
 {PAD.replace('FROM pool p,', 'FROM sp p,')},
 syn AS (SELECT s.segment, s.region, s.match_types, p.family, c.n, s.match_type, p.keyword FROM sp s JOIN padded p USING (region, match_type), (SELECT unnest([10, 20, 40]) AS n) c WHERE p.pos <= c.n)"""
-SQL_FAMILIES = ("allowlist", "top_conv", "semantic", "composite")
 
 
-def _lists(spark, sf, families):
+def _lists(spark, sf, families=C.FAMILIES):
     allow = cut_lineage(feeds.ordered_allowlist(R.allowlist_raw(spark, sf)))
     pools = C.segment_pools(C.segments_of(scoped_summary(spark, sf)))
     day = R.kw_day(spark, sf)
     return pools, C.pool_lists(day, allow, R.keyword_vectors(spark, sf), R.anchors(spark, sf), pools, 40, families)
 
 
-@query("c3_synthetic_lists", f"WITH {LISTS_SQL} SELECT segment, family, n, match_type, keyword FROM syn")
+@query("c3_synthetic_lists", f"WITH RECURSIVE {LISTS_SQL} SELECT segment, family, n, match_type, keyword FROM syn")
 def c3(spark, sf):
-    pools, lists = _lists(spark, sf, SQL_FAMILIES)
+    pools, lists = _lists(spark, sf)
     return C.synthetic_members(pools, lists, [10, 20, 40]).select("segment", "family", "n", "match_type", "keyword")
 
 
-@query("c3_dispersion_lists")
+@query("c3_dispersion_lists", f"WITH RECURSIVE {LISTS_SQL} SELECT segment, family, n, match_type, keyword FROM syn WHERE family = 'dispersion'")
 def c3d(spark, sf):
     pools, lists = _lists(spark, sf, ["dispersion"])
     return C.synthetic_members(pools, lists, [10, 20, 40]).select("segment", "family", "n", "match_type", "keyword")
@@ -359,30 +379,30 @@ cand AS (SELECT segment, region, match_types, keyword_set_id, source FROM (SELEC
    UNION ALL SELECT segment, region, match_types, keyword_set_id, source, n, f FROM emitted) QUALIFY row_number() OVER (PARTITION BY segment, keyword_set_id ORDER BY n, f) = 1)"""
 
 
-def _build(spark, sf, families):
+def _build(spark, sf):
     allow = cut_lineage(feeds.ordered_allowlist(R.allowlist_raw(spark, sf)))
     return (*C.build_candidates(scoped_summary(spark, sf), R.kw_day(spark, sf), R.set_members(spark, sf), allow,
-                                R.keyword_vectors(spark, sf), R.anchors(spark, sf), families=families), allow)
+                                R.keyword_vectors(spark, sf), R.anchors(spark, sf)), allow)
 
 
-@query("c4_candidate_ids", f"WITH {IDS_SQL} SELECT segment, region, match_types, keyword_set_id, source FROM cand")
+@query("c4_candidate_ids", f"WITH RECURSIVE {IDS_SQL} SELECT segment, region, match_types, keyword_set_id, source FROM cand")
 def c4(spark, sf):
-    return _build(spark, sf, SQL_FAMILIES)[0]
+    return _build(spark, sf)[0]
 
 
-@query("u2_candidate_union", f"WITH {IDS_SQL} SELECT source, CAST(count(*) AS BIGINT) AS n FROM cand GROUP BY 1")
+@query("u2_candidate_union", f"WITH RECURSIVE {IDS_SQL} SELECT source, CAST(count(*) AS BIGINT) AS n FROM cand GROUP BY 1")
 def u2(spark, sf):
-    return _build(spark, sf, SQL_FAMILIES)[0].groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return _build(spark, sf)[0].groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p25_synthetic_ids", f"""WITH {IDS_SQL} SELECT keyword_set_id FROM emitted WHERE is_new""")
+@query("p25_synthetic_ids", f"""WITH RECURSIVE {IDS_SQL} SELECT keyword_set_id FROM emitted WHERE is_new""")
 def p25(spark, sf):
-    cands, extended, _ = _build(spark, sf, SQL_FAMILIES)
+    cands, extended, _ = _build(spark, sf)
     made = extended.filter(F.col("keyword_set_id").startswith("synthetic_")).select("keyword_set_id")
     return C.unused_index(spark, R.keyword_sets_raw(spark, sf), made)
 
 
-@query("c5_extended_sets", f"""WITH {IDS_SQL},
+@query("c5_extended_sets", f"""WITH RECURSIVE {IDS_SQL},
 em AS (SELECT e.keyword_set_id, s.match_type, s.keyword FROM syn s JOIN emitted e USING (segment, family, n) WHERE e.is_new
   UNION ALL SELECT keyword_set_id, match_type, keyword FROM set_members WHERE keyword IN (SELECT keyword FROM allowlist))
 SELECT keyword_set_id, coalesce(string_agg(DISTINCT keyword, '; ' ORDER BY keyword) FILTER (WHERE match_type = 'Broad'), '') AS broad_keywords,
@@ -390,10 +410,10 @@ SELECT keyword_set_id, coalesce(string_agg(DISTINCT keyword, '; ' ORDER BY keywo
  coalesce(string_agg(DISTINCT keyword, '; ' ORDER BY keyword) FILTER (WHERE match_type = 'Exact'), '') AS exact_keywords,
  string_agg(DISTINCT keyword, '; ' ORDER BY keyword) AS positive_keywords FROM em GROUP BY 1""")
 def c5(spark, sf):
-    return _build(spark, sf, SQL_FAMILIES)[1]
+    return _build(spark, sf)[1]
 
 
-@query("c6_verification", f"""WITH {IDS_SQL}
+@query("c6_verification", f"""WITH RECURSIVE {IDS_SQL}
 SELECT 'missing_source' AS issue, g.segment AS subject, g.source AS detail FROM (SELECT DISTINCT segment, 'synthetic_' || fam || '_n' || n AS source FROM cand,
    (SELECT unnest(['top_conv', 'allowlist']) AS fam), (SELECT unnest([10, 20, 40]) AS n)) g
  WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.segment = g.segment AND c.source = g.source)
@@ -401,7 +421,7 @@ UNION ALL SELECT DISTINCT 'off_allowlist', s.keyword_set_id, s.match_type || ':
  AND s.keyword_set_id IN (SELECT keyword_set_id FROM cand) AND s.keyword_set_id IN ('Brand#1', 'Brand#2')
 UNION ALL SELECT DISTINCT 'missing_set', keyword_set_id, '' FROM cand WHERE keyword_set_id = 'Brand#4'""")
 def c6(spark, sf):
-    cands, extended, allow = _build(spark, sf, SQL_FAMILIES)
+    cands, extended, allow = _build(spark, sf)
     # two sets get their unfiltered lists back and one set is removed, so every rule has work
     raw = K.member_lists(R.set_members(spark, sf)).filter("keyword_set_id IN ('Brand#1', 'Brand#2')")
     broken = extended.filter("keyword_set_id NOT IN ('Brand#1', 'Brand#2', 'Brand#4')").unionByName(raw)

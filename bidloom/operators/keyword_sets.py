@@ -223,3 +223,11 @@ def version_overlaps(versions: DataFrame, bridge: DataFrame) -> DataFrame:
     a = versions.select("campaign", F.col("campaign_version").alias("version_a"), F.col("keyword_set_id").alias("set_a"))
     b = versions.select("campaign", F.col("campaign_version").alias("version_b"), F.col("keyword_set_id").alias("set_b"))
     return a.join(b, "campaign").filter("version_a < version_b").join(looked, ["set_a", "set_b"])
+
+
+def keyword_differences(raw: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, keyword, side): distinct keywords of one side that the other lacks, one row each."""
+    both = [*keys, "keyword"]
+    sides = raw.select(*both, F.lit(1).alias("_raw"), F.lit(0).alias("_log")).unionByName(log.select(*both, F.lit(0).alias("_raw"), F.lit(1).alias("_log")))
+    held = sides.groupBy(*both).agg(F.max("_raw").alias("_raw"), F.max("_log").alias("_log")).filter("_raw <> _log")
+    return held.select(*both, F.when(F.col("_raw") == 1, F.lit("raw_only")).otherwise(F.lit("log_only")).alias("side"))

@@ -154,6 +154,13 @@ def missing_days(spark: SparkSession, start: str, end: str, observed: DataFrame,
     return day_range(spark, start, end, name).join(observed.select(name).distinct(), name, "left_anti")
 
 
+def missing_days_of(start: str, end: str, observed: DataFrame, keys: list[str], name: str = "date") -> DataFrame:
+    """(keys, day) of the window's days without an observation of each key; the days are listed inside the keys' rows."""
+    window = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+    seen = observed.groupBy(*keys).agg(F.collect_set(name).alias("_seen"))
+    return seen.select(*keys, F.explode(F.array_except(window, "_seen")).alias(name))
+
+
 def week_starts(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Mondays inside the window, plus the opening day when it is not a Monday."""
     day = F.date_trunc("week", F.col("date")).cast("date")
