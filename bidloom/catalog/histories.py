@@ -213,6 +213,21 @@ def h9(spark, sf):
         "version_a", "version_b", "n_a", "n_b", "shared", *[F.round(c, 4).alias(c) for c in ("jaccard", "overlap_a", "overlap_b")])
 
 
+@query("h9_version_changes", """
+WITH v AS (SELECT campaign, campaign_version, keyword_set_id, lag(campaign_version) OVER w AS previous_version, lag(keyword_set_id) OVER w AS was
+  FROM campaign_summary WINDOW w AS (PARTITION BY campaign ORDER BY start_date, campaign_version)),
+l AS (SELECT keyword_set_id, list(DISTINCT keyword) AS words FROM set_keywords GROUP BY 1),
+j AS (SELECT v.*, coalesce(a.words, []) AS now, coalesce(b.words, []) AS old FROM v LEFT JOIN l a ON a.keyword_set_id = v.keyword_set_id LEFT JOIN l b ON b.keyword_set_id = v.was WHERE previous_version IS NOT NULL),
+s AS (SELECT *, list_sort(list_filter(now, lambda x: list_contains(old, x))) AS both, list_sort(list_filter(now, lambda x: NOT list_contains(old, x))) AS fresh, list_sort(list_filter(old, lambda x: NOT list_contains(now, x))) AS gone FROM j)
+SELECT campaign_version, previous_version, CAST(len(now) AS INTEGER) AS n_now, CAST(len(old) AS INTEGER) AS n_before, CAST(len(both) AS INTEGER) AS n_shared,
+ round(len(both) / (len(both) + len(fresh) + len(gone)), 6) AS jaccard, array_to_string(both, '; ') AS shared_keywords, array_to_string(fresh, '; ') AS added_keywords, array_to_string(gone, '; ') AS dropped_keywords FROM s""")
+def h9c(spark, sf):
+    from bidloom.operators import set_join as J
+    versions = R.campaign_summary(spark, sf).select("campaign_version", "campaign", "keyword_set_id", "start_date")
+    out = J.version_changes(versions, R.set_members(spark, sf).select("keyword_set_id", "keyword").distinct())
+    return out.drop("campaign").withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query("h11_keyword_audit", """
 WITH v AS (SELECT campaign_version, campaign, start_date, end_date, keyword_set_id FROM campaign_summary),
 r AS (SELECT campaign_version, keyword FROM v JOIN active_kw k ON k.campaign = v.campaign AND k.date >= v.start_date AND (v.end_date IS NULL OR k.date < v.end_date) GROUP BY ALL),

@@ -230,12 +230,20 @@ def o10(spark, sf):
 @query("r1_streaming_panel", """
 SELECT date, campaign, region, CAST(sum(clicks) AS BIGINT) AS clicks, round(sum(cost), 6) AS cost, round(sum(all_conv), 6) AS all_conv FROM kw_day GROUP BY ALL""")
 def r1(spark, sf):
+    """The report arrives in the order of its days, but every 50th row comes at the end, too late for most days."""
     folder, out = scratch_dir(spark, "report-in"), scratch_dir(spark, "report-days")
     text = R.kw_raw(spark, sf).drop("feed")
-    text.select(*[F.col(c).cast("string").alias(c) for c in text.columns]).write.parquet(folder)
-    stream = jobs.report_stream(spark, folder, fmt="parquet")
-    jobs.start(jobs.streaming_campaign_days(stream, "40000 days"), jobs.upsert_days(out), scratch_dir(spark, "ckpt")).awaitTermination()
-    return rounded(spark.read.parquet(out).drop("month"), 6, "cost", "all_conv")
+    rows = cut_lineage(text.select(*[F.col(c).cast("string").alias(c) for c in text.columns]))
+    last = F.pmod(F.xxhash64(*rows.columns), F.lit(50)) == 0
+    for year in sorted(r[0] for r in rows.select(F.substring("date", 1, 4)).distinct().collect()):
+        rows.filter(~last & (F.substring("date", 1, 4) == year)).coalesce(1).write.mode("append").parquet(folder)
+    rows.filter(last).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.report_stream(spark, folder, fmt="parquet", files_per_trigger=1)
+    jobs.start(jobs.streaming_campaign_days(stream), jobs.upsert_days(out), scratch_dir(spark, "ckpt")).awaitTermination()
+    report = cut_lineage(P.clean_report(rows))
+    missed = cut_lineage(jobs.missed_days(spark.read.parquet(out), report))
+    jobs.reconcile(out, missed, report)
+    return rounded(spark.read.parquet(out).drop("month", "n_rows"), 6, "cost", "all_conv")
 
 
 @query("r2_streaming_metrics", f"""WITH {COMP}, {DAILY_SQL} SELECT day AS score_date, round(pl, 6) AS pred_level_total, round(obs, 6) AS observed_total FROM dt""")
@@ -247,20 +255,10 @@ def r2(spark, sf):
     rows.drop("y").write.parquet(f"{folder}/a")
     rows.drop("y").filter("year(day) = 2000").write.parquet(f"{folder}/b")
     stream = spark.readStream.schema(rows.drop("y").schema).option("recursiveFileLookup", True).parquet(folder)
-    stamped = stream.withColumn("score_date", F.trunc("day", "month"))
-    # the monthly partition replaces itself when a file repeats a day
-    jobs.start(stamped, _by_month(out), scratch_dir(spark, "ckpt"), "append").awaitTermination()
+    jobs.start(stream, jobs.append_once(out, "day"), scratch_dir(spark, "ckpt"), "append").awaitTermination()
     return spark.read.parquet(out).select(F.col("day").alias("score_date"), "pred_level_total", "observed_total")
 
 
-def _by_month(path):
-    writer = jobs.upsert_days(path, ("day",))
-
-    def write(batch, epoch):
-        writer(batch.drop("score_date").withColumn("date", F.col("day")).dropDuplicates(["day"]), epoch)
-    return write
-
-
 @query("r3_streaming_state", """
 WITH b AS (SELECT owner, arg_max(daily_budget, -ord) AS daily_budget FROM budget_ev GROUP BY 1), s AS (SELECT owner, arg_max(status, -ord) AS status FROM status_ev GROUP BY 1),
 k AS (SELECT owner, negative, match_type, keyword, arg_max(action, -ord) AS action FROM kw_ev GROUP BY ALL),

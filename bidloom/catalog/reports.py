@@ -414,6 +414,18 @@ def j10(spark, sf):
     return out.select("set_a", "set_b", "shared", "n_union", F.round("jaccard", 4).alias("jaccard"))
 
 
+@query("j10_similar_sets", """
+WITH n AS (SELECT keyword_set_id, count(*) AS n FROM set_keywords GROUP BY 1),
+c AS (SELECT keyword_set_id, min(keyword_set_id) OVER (PARTITION BY words) AS content FROM (SELECT keyword_set_id, string_agg(keyword, '|' ORDER BY keyword) AS words FROM set_keywords GROUP BY 1)),
+o AS (SELECT a.keyword_set_id AS a, b.keyword_set_id AS b, count(*) AS shared FROM set_keywords a JOIN set_keywords b ON a.keyword = b.keyword AND a.keyword_set_id < b.keyword_set_id GROUP BY ALL)
+SELECT a, b, CAST(shared AS BIGINT) AS shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM o JOIN n x ON x.keyword_set_id = a JOIN n y ON y.keyword_set_id = b
+WHERE a IN (SELECT content FROM c) AND b IN (SELECT content FROM c) AND 100 * shared >= 5 * (x.n + y.n - shared)""")
+def j10s(spark, sf):
+    from bidloom.operators import set_join as J
+    _, contents = J.set_contents(R.set_members(spark, sf).select("keyword_set_id", "keyword").distinct())
+    return J.similar_contents(contents, 0.05).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
+
+
 SPEC_SQL = """
 SELECT b AS region, mt AS match_type, 'Course - ' || b || ' - ' || mt || ' - Experiment' AS campaign_name,
  'Ad Group - Course - ' || b || ' - ' || mt || ' - Experiment' AS ad_group_name,

@@ -156,13 +156,44 @@ def set_fingerprints(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     return members.groupBy(*keys).agg(T.fingerprint(F.collect_set("keyword")).alias("fp"))
 
 
-def number_synthetic_sets(synthetic: DataFrame, historical: DataFrame, members: DataFrame, prefix: str = "synthetic") -> DataFrame:
+def taken_numbers(existing: DataFrame) -> DataFrame:
+    """(base, taken): the numbers in use behind each id that ends in an underscore and a whole number without leading zeros."""
+    parts = [F.regexp_extract("keyword_set_id", r"^((?s:.*)_)(0|[1-9][0-9]{0,8})$", i) for i in (1, 2)]
+    split = existing.select(parts[0].alias("base"), parts[1].try_cast("int").alias("number")).filter("base <> ''")
+    return split.groupBy("base").agg(F.collect_set("number").alias("taken"))
+
+
+def numbers_past(rows: DataFrame, order: Sequence[str], existing: DataFrame) -> DataFrame:
+    """``rows`` (order, base) with ``_i``: numbers from 1 in order, each past the one before it and past those its base has in use.
+
+    The rows are the new sets of one build, a few per segment, cap and family; one row lists them.
+    """
+    none = F.array().cast("array<int>")
+    asked = rows.join(taken_numbers(existing), "base", "left").withColumn("taken", F.coalesce("taken", none))
+    listed = asked.agg(F.array_sort(F.collect_list(F.struct(*order, "taken"))).alias("rows"))
+
+    def place(last: Column, taken: Column) -> Column:
+        free = F.filter(F.sequence(last + 1, last + 1 + F.size(taken)), lambda j: ~F.array_contains(taken, j))
+        return F.array_min(free)
+
+    def step(acc: Column, row: Column) -> Column:
+        number = place(acc["last"], row["taken"])
+        return F.struct(number.alias("last"), F.array_append(acc["numbers"], number).alias("numbers"))
+
+    numbers = F.aggregate("rows", F.struct(F.lit(0).alias("last"), none.alias("numbers")), step, lambda acc: acc["numbers"])
+    placed = listed.select(F.explode(F.arrays_zip("rows", numbers.alias("_i"))).alias("r"))
+    return placed.select(*[F.col(f"r.rows.{c}").alias(c) for c in order], F.col("r._i").alias("_i"))
+
+
+def number_synthetic_sets(
+    synthetic: DataFrame, historical: DataFrame, members: DataFrame, prefix: str = "synthetic", existing: DataFrame | None = None
+) -> DataFrame:
     """Emitted sets with ids: (segment, region, match_types, family, n, source, keyword_set_id, is_new).
 
     Emission order is segment, cap, family. A variant equal to the performance list or to an earlier
     variant of the same cap is dropped. Equal contents in one region share an id: the historical one
-    if any, else the id made at the first emission. The table has one row per segment, cap and
-    family, so its windows are small by construction.
+    if any, else the id made at the first emission. Numbers go past those in use in ``existing``. The
+    table has one row per segment, cap and family, so its windows are small by construction.
     """
     sets = set_fingerprints(synthetic, ["segment", "region", "match_types", "family", "n"]).withColumn("_f", _family_order())
     variant = Window.partitionBy("segment", "n", "fp", F.col("family") == "allowlist").orderBy("_f")
@@ -179,9 +210,15 @@ def number_synthetic_sets(synthetic: DataFrame, historical: DataFrame, members:
     placed = kept.join(known, ["region", "fp"], "left").withColumn(
         "is_new", F.col("known_id").isNull() & (F.row_number().over(first) == 1)
     )
-    everything = Window.partitionBy().orderBy(*order)
-    numbered = placed.withColumn("_i", F.sum(F.col("is_new").cast("int")).over(everything))
     suffix = F.concat("family", F.lit("_n"), F.col("n").cast("string"))
+    if existing is None:
+        everything = Window.partitionBy().orderBy(*order)
+        numbered = placed.withColumn("_i", F.sum(F.col("is_new").cast("int")).over(everything))
+    else:
+        base = F.regexp_replace(T.synthetic_id(prefix, F.col("segment"), suffix, F.lit(0)), "0$", "")
+        placed = cut_lineage(placed)
+        new = placed.filter("is_new").select("segment", "n", "_f", base.alias("base"))
+        numbered = placed.join(numbers_past(new, ["segment", "n", "_f"], existing), ["segment", "n", "_f"], "left")
     made = F.when(F.col("is_new"), T.synthetic_id(prefix, F.col("segment"), suffix, F.col("_i")))
     shared = F.max(made).over(Window.partitionBy("region", "fp"))
     return numbered.select(
@@ -217,7 +254,7 @@ def build_candidates(
     history = historical_candidates(summary, allowed)
     lists = pool_lists(report, allowlist, vectors, anchors, pools, max(caps), families)
     synthetic = cut_lineage(synthetic_members(pools, lists, caps))
-    emitted = cut_lineage(number_synthetic_sets(synthetic, history, allowed))
+    emitted = cut_lineage(number_synthetic_sets(synthetic, history, allowed, existing=members.select("keyword_set_id").distinct()))
     rows = history.select("segment", "region", "match_types", "keyword_set_id", "source", F.lit(0).alias("n"), F.lit(0).alias("_f"))
     rows = rows.unionByName(emitted.select(*rows.columns))
     once = Window.partitionBy("segment", "keyword_set_id").orderBy("n", "_f")

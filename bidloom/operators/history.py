@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
 from bidloom.functions.grouped import carry, first_per_key, following
-from bidloom.operators.joins import asof_backward, interval_join
+from bidloom.operators.joins import asof_backward, interval_join, stab_join
 from bidloom.session import cut_lineage
 
 # Replay sequence of event kinds inside one order.
@@ -282,12 +282,10 @@ def snapshot_heads(actions: DataFrame, names: Names) -> tuple[DataFrame, DataFra
 def snapshot_members(heads: DataFrame, spans: DataFrame) -> DataFrame:
     """Long (owner, campaign, tick, negative, match_type, keyword): the words each snapshot shows.
 
-    A removal span covers one tick of its own campaign, an add span a range of ticks; the join is
-    an equi join on owner with the range as a residual.
+    A removal span covers one tick of its own campaign, an add span a range of ticks; both are found through the owner's interval tree.
     """
-    s = heads.select("owner", "campaign", "tick")
-    inside = (F.col("tick") >= F.col("from_tick")) & (F.col("to_tick").isNull() | (F.col("tick") < F.col("to_tick")))
-    return s.join(spans, "owner").filter(inside).select("owner", "campaign", "tick", "negative", "match_type", "keyword")
+    held = stab_join(heads.select("owner", "campaign", "tick"), spans, ["owner"], "tick", "from_tick", "to_tick")
+    return held.select("owner", "campaign", "tick", "negative", "match_type", "keyword")
 
 
 def fill_empty_sets(heads: DataFrame, filled: DataFrame) -> DataFrame:
@@ -359,10 +357,8 @@ def campaign_snapshots(actions: DataFrame, names: Names | None = None) -> DataFr
     lenders = donors.filter("donor IS NOT NULL").select(
         "owner", "campaign", F.col("tick").alias("_at"), F.col("donor.tick").alias("tick")
     )
-    inside = (F.col("tick") >= F.col("from_tick")) & (F.col("to_tick").isNull() | (F.col("tick") < F.col("to_tick")))
-    lent = lenders.join(positive, "owner").filter(inside).select(
-        "owner", "campaign", F.col("_at").alias("tick"), "negative", "match_type", "keyword"
-    )
+    held = stab_join(lenders, positive, ["owner"], "tick", "from_tick", "to_tick")
+    lent = held.select("owner", "campaign", F.col("_at").alias("tick"), "negative", "match_type", "keyword")
     lists = _lists(lent.unionByName(snapshot_members(heads, negative)), ["owner", "campaign", "tick"])
     out = donors.drop("donor").join(lists, ["owner", "campaign", "tick"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in LIST_FIELDS})
@@ -418,8 +414,9 @@ def inferred_budget(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
         .groupBy("owner", F.col("date").alias("_day"))
         .agg(F.min_by("previous_budget", F.struct("order", "tick")).alias("_previous"))
     )
-    hit = (F.col("_day") >= F.col("start_date")) & (F.col("_day") <= F.col("end_date"))
-    found = windows.select("campaign", "owner", "start_date", "end_date").join(changes, "owner").filter(hit)
+    days = cut_lineage(changes.withColumn("_at", F.unix_date("_day")))
+    spans = windows.select("campaign", "owner", "start_date", F.unix_date("start_date").alias("_from"), (F.unix_date("end_date") + 1).alias("_to"))
+    found = stab_join(days, spans, ["owner"], "_at", "_from", "_to")
     return found.groupBy("campaign", "start_date").agg(F.min_by("_previous", "_day").alias("inferred_budget"))
 
 

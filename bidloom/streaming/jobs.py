@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from bidloom.functions.grouped import exact_sum
 from bidloom.operators.panel import clean_report
 from bidloom.session import cut_lineage
 
@@ -33,9 +34,9 @@ def report_stream(spark: SparkSession, folder: str, schema: str = REPORT_SCHEMA,
 def streaming_campaign_days(rows: DataFrame, late: str = "7 days") -> DataFrame:
     """Campaign-day totals that follow the report as it arrives.
 
-    Rows up to ``late`` behind the newest day update their day; older ones are dropped here and are
-    picked up by the batch panel, which stays the source of truth. State holds one small row per open
-    campaign-day.
+    Rows up to ``late`` behind the newest day update their day, and state holds one small row per campaign-day
+    that is still open. Older rows are left out here: :func:`missed_days` finds the days they belong to and
+    :func:`reconcile` puts the batch totals there. ``n_rows`` counts the rows that were taken.
     """
     stamped = rows.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", late)
     whole = F.rint(F.col("cost") * 1000000).cast("bigint")
@@ -45,12 +46,35 @@ def streaming_campaign_days(rows: DataFrame, late: str = "7 days") -> DataFrame:
             F.sum("clicks").alias("clicks"),
             (F.sum(whole) / F.lit(1000000.0)).alias("cost"),
             (F.sum(F.rint(F.col("all_conv") * 1000000).cast("bigint")) / F.lit(1000000.0)).alias("all_conv"),
+            F.count(F.lit(1)).alias("n_rows"),
         )
-        .select(F.col("w.start").cast("date").alias("date"), "campaign", "region", "clicks", "cost", "all_conv")
+        .select(F.col("w.start").cast("date").alias("date"), "campaign", "region", "clicks", "cost", "all_conv", "n_rows")
     )
 
 
-def upsert_days(path: str, keys: tuple[str, ...] = ("date", "campaign", "region")) -> Callable[[DataFrame, int], None]:
+DAY_KEYS = ("date", "campaign", "region")
+
+
+def missed_days(streamed: DataFrame, report: DataFrame) -> DataFrame:
+    """(date, campaign, region, n_missed): campaign-days of the clean report of which the stream left out rows."""
+    counts = report.filter("date IS NOT NULL").groupBy(*DAY_KEYS).agg(F.count(F.lit(1)).alias("n_missed"))
+    taken = streamed.select(*DAY_KEYS, (-F.col("n_rows")).alias("n_missed"))
+    return counts.unionByName(taken).groupBy(*DAY_KEYS).agg(F.sum("n_missed").alias("n_missed")).filter("n_missed > 0")
+
+
+def reconcile(path: str, missed: DataFrame, report: DataFrame) -> None:
+    """Put the batch totals of the missed campaign-days in place; running it again changes nothing."""
+    renamed = missed.select(*[F.col(k).alias(f"_{k}") for k in DAY_KEYS])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in DAY_KEYS]
+    rows = report.join(renamed, same, "left_semi")
+    totals = rows.groupBy(*DAY_KEYS).agg(
+        F.sum("clicks").alias("clicks"), exact_sum(F.col("cost")).alias("cost"), exact_sum(F.col("all_conv")).alias("all_conv"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    upsert_days(path)(cut_lineage(totals), -1)
+
+
+def upsert_days(path: str, keys: tuple[str, ...] = DAY_KEYS, date: str = "date") -> Callable[[DataFrame, int], None]:
     """Batch writer that replaces the month partitions an update touches.
 
     A retried batch rewrites the same rows, so the table is the same after a failure.
@@ -58,7 +82,7 @@ def upsert_days(path: str, keys: tuple[str, ...] = ("date", "campaign", "region"
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("month", F.trunc("date", "MM"))
+        fresh = batch.withColumn("month", F.trunc(date, "MM"))
         months = fresh.select("month").distinct()
         try:
             current = spark.read.parquet(path)
@@ -76,16 +100,17 @@ def upsert_days(path: str, keys: tuple[str, ...] = ("date", "campaign", "region"
     return write
 
 
-def append_once(path: str, partition: str = "score_date") -> Callable[[DataFrame, int], None]:
-    """Batch writer for daily metrics: a day's partition is replaced, never doubled.
+def append_once(path: str, key: str = "score_date") -> Callable[[DataFrame, int], None]:
+    """Batch writer for daily metrics: a day's row is replaced, never doubled.
 
     Of several rows of a day the greatest by their columns in order stays, whatever the partitioning.
     """
+    writer = upsert_days(path, (key,), key)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rest = [c for c in batch.columns if c != partition]
-        rows = batch.groupBy(partition).agg(F.max(F.struct(*rest)).alias("r")).select(partition, "r.*").select(*batch.columns)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        rest = [c for c in batch.columns if c != key]
+        rows = batch.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*").select(*batch.columns)
+        writer(rows, epoch)
 
     return write
 
