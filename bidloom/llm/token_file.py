@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bidloom.llm.words import runs, span_hashes
 
 END_ID, SEGMENT_TOKENS, SEGMENT_DOCS, RANK_BITS = 2, 1 << 20, 4096, 512
-CACHE_SEGMENTS, RUN_TEXT_BYTES = 4_000_000, 8 << 20
+CACHE_SEGMENTS, RUN_TEXT_BYTES, JOINED_PIECES = 4_000_000, 8 << 20, 4096
 SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, "
     "levels array<binary>, bitmaps array<binary>, ranks array<binary>"
@@ -84,6 +84,9 @@ class Encoder:
     Text is cut only between a visible ASCII character, or a character U+00C0 to U+00FF, and the space after it, and between an ASCII
     letter and the ASCII mark after it. The vocabulary's pattern never matches across such places and never looks back, so the pieces
     encode as they do in the whole text. Where a special token occurs, the second cut is left out.
+
+    Pieces that begin with a space and end as the first cut asks can stand in any order, so many of them go through the library as one
+    text; the bytes of each id tell where a piece ends. Special tokens have no space, so none arises at a seam.
     """
 
     def __init__(self, path: str):
@@ -91,16 +94,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        # In a byte-level vocabulary every character of a token stands for one byte.
+        self.width = np.zeros(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.width[i] = len(added[i].content.encode()) if i in added else len(token)
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode_pieces(self, data: np.ndarray, starts: list[int], ends: list[int]) -> list[list[int]]:
-        raw, encode = data.tobytes(), self.tokenizer.encode
-        return [encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(starts, ends)]
+    def _encode_texts(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in order, and how many each has."""
+        last, lead = data[ends - 1], data[np.maximum(ends - 2, starts)]
+        seam = (data[starts] == 32) & (((last > 32) & (last < 127)) | ((last >= 128) & (lead == 0xC3) & (ends - starts > 2)))
+        joined, alone = np.flatnonzero(seam), np.flatnonzero(~seam)
+        raw, flat, size = data.tobytes(), [], np.zeros(len(starts), np.int64)
+        spans = list(zip(starts.tolist(), ends.tolist()))
+        for at in range(0, len(joined), JOINED_PIECES):
+            block = joined[at : at + JOINED_PIECES]
+            [ids] = self._encode_texts([b"".join([raw[a:b] for a, b in (spans[i] for i in block.tolist())]).decode()])
+            ids = np.array(ids, np.uint32)
+            to, close = np.cumsum(self.width[ids]), np.cumsum(ends[block] - starts[block])
+            upto = np.searchsorted(to, close, side="right")
+            if len(ids) == 0 or not np.array_equal(to[upto - 1], close):  # the vocabulary is not one of bytes
+                alone = np.concatenate([alone, block])
+                continue
+            size[block] = np.diff(upto, prepend=0)
+            flat.append((block, ids))
+        for at in range(0, len(alone), JOINED_PIECES):
+            block = alone[at : at + JOINED_PIECES]
+            got = self._encode_texts([raw[a:b].decode() for a, b in (spans[i] for i in block.tolist())])
+            size[block] = np.fromiter(map(len, got), np.int64, len(got))
+            flat.append((block, np.fromiter(chain.from_iterable(got), np.uint32, int(size[block].sum()))))
+        begin, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint32)
+        for block, ids in flat:
+            n = size[block]
+            out[np.repeat(begin[block] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and the number of ids of each document."""
@@ -131,10 +167,9 @@ class Encoder:
         found[inside] = self.known[place[inside]] == distinct[inside]
         if not found.all():
             at = where[~found]
-            got = self._encode_pieces(data, starts[at].tolist(), ends[at].tolist())
-            size = np.fromiter(map(len, got), np.int64, len(got))
+            got, size = self._encode_pieces(data, starts[at], ends[at])
             begin = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())))
+            self.flat = np.append(self.flat, got)
             self.known = np.insert(self.known, place[~found], distinct[~found])
             self.begin = np.insert(self.begin, place[~found], begin)
             self.size = np.insert(self.size, place[~found], size)
