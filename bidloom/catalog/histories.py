@@ -13,7 +13,7 @@ from bidloom.session import cut_lineage
 
 
 def _log(spark, sf):
-    acts = R.change_actions(spark, sf)
+    acts = cut_lineage(R.change_actions(spark, sf))  # stored once: every event kind reads the log
     return acts, H.read_names(acts)
 
 
@@ -218,9 +218,9 @@ WITH v AS (SELECT campaign, campaign_version, keyword_set_id, lag(campaign_versi
   FROM campaign_summary WINDOW w AS (PARTITION BY campaign ORDER BY start_date, campaign_version)),
 l AS (SELECT keyword_set_id, list(DISTINCT keyword) AS words FROM set_keywords GROUP BY 1),
 j AS (SELECT v.*, coalesce(a.words, []) AS now, coalesce(b.words, []) AS old FROM v LEFT JOIN l a ON a.keyword_set_id = v.keyword_set_id LEFT JOIN l b ON b.keyword_set_id = v.was WHERE previous_version IS NOT NULL),
-s AS (SELECT *, list_sort(list_filter(now, lambda x: list_contains(old, x))) AS both, list_sort(list_filter(now, lambda x: NOT list_contains(old, x))) AS fresh, list_sort(list_filter(old, lambda x: NOT list_contains(now, x))) AS gone FROM j)
-SELECT campaign_version, previous_version, CAST(len(now) AS INTEGER) AS n_now, CAST(len(old) AS INTEGER) AS n_before, CAST(len(both) AS INTEGER) AS n_shared,
- round(len(both) / (len(both) + len(fresh) + len(gone)), 6) AS jaccard, array_to_string(both, '; ') AS shared_keywords, array_to_string(fresh, '; ') AS added_keywords, array_to_string(gone, '; ') AS dropped_keywords FROM s""")
+s AS (SELECT *, list_sort(list_filter(now, lambda x: list_contains(old, x))) AS kept_words, list_sort(list_filter(now, lambda x: NOT list_contains(old, x))) AS fresh, list_sort(list_filter(old, lambda x: NOT list_contains(now, x))) AS gone FROM j)
+SELECT campaign_version, previous_version, CAST(len(now) AS INTEGER) AS n_now, CAST(len(old) AS INTEGER) AS n_before, CAST(len(kept_words) AS INTEGER) AS n_shared,
+ round(len(kept_words) / (len(kept_words) + len(fresh) + len(gone)), 6) AS jaccard, array_to_string(kept_words, '; ') AS shared_keywords, array_to_string(fresh, '; ') AS added_keywords, array_to_string(gone, '; ') AS dropped_keywords FROM s""")
 def h9c(spark, sf):
     from bidloom.operators import set_join as J
     versions = R.campaign_summary(spark, sf).select("campaign_version", "campaign", "keyword_set_id", "start_date")

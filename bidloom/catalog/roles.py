@@ -100,16 +100,17 @@ def campaign_summary(spark: SparkSession, sf: str) -> DataFrame:
     ))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
+def panel(spark: SparkSession, sf: str, versions: DataFrame | None = None) -> DataFrame:
     """The stored campaign-day panel; later steps read it, never the report again."""
-    return cut_lineage(P.campaign_day_panel(kw_day(spark, sf), campaign_summary(spark, sf)))
+    return cut_lineage(P.campaign_day_panel(kw_day(spark, sf), campaign_summary(spark, sf) if versions is None else versions))
 
 
 def segment_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Panel rows with region, segment, keyword set and scaled target."""
-    days = panel(spark, sf).filter(F.col("region").isNotNull())
+    versions = campaign_summary(spark, sf)
+    days = panel(spark, sf, versions).filter(F.col("region").isNotNull())
     out = P.scaled_target(days, P.segment_rates(days))
-    return P.attach_set_ids(P.add_segment(out), campaign_summary(spark, sf))
+    return P.attach_set_ids(P.add_segment(out), versions)
 
 
 def set_members(spark: SparkSession, sf: str) -> DataFrame:

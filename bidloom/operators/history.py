@@ -224,8 +224,10 @@ def _stream(actions: DataFrame, names: Names) -> tuple[DataFrame, DataFrame]:
     State follows a campaign through its renames, so it is kept per owner, the latest name.
     """
     heads, words = None, None
+    signs = [keyword_events(actions, names, negative).withColumn("negative", F.lit(negative)) for negative in (False, True)]
+    both = cut_lineage(signs[0].unionByName(signs[1]))  # the texts are parsed once for heads and words
     for negative, kind in ((False, "keyword"), (True, "negative_keyword")):
-        events = keyword_events(actions, names, negative)
+        events = both.filter(F.col("negative") == negative)
         ticked = events.withColumns({"negative": F.lit(negative), "tick": tick_of(F.col("order"), kind)})
         words = ticked if words is None else words.unionByName(ticked)
         head = describe_keyword_changes(events, negative).select(

@@ -139,25 +139,27 @@ class CampaignState(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         tick, b_tick, budget, s_tick, status = self.latest.get() if self.latest.exists() else (None, None, None, None, None)
         plus, minus = self.counts.get() if self.counts.exists() else (0, 0)
-        for batch in rows:
-            for r in batch.sort_values("tick").itertuples(index=False):
-                at = int(r.tick)
-                tick = at if tick is None else max(tick, at)
-                if r.set_budget is not None and (b_tick is None or at >= b_tick):
-                    b_tick, budget = at, r.set_budget
-                if r.set_status is not None and (s_tick is None or at >= s_tick):
-                    s_tick, status = at, r.set_status
-                if r.keyword is not None:
-                    word = (bool(r.negative), r.match_type, r.keyword)
-                    old = self.words.getValue(word) if self.words.containsKey(word) else None
-                    if old is None or at >= old[0]:
-                        active = r.action == "add"
-                        change = int(active) - int(bool(old[1]) if old is not None else False)
-                        if word[0]:
-                            minus += change
-                        else:
-                            plus += change
-                        self.words.updateValue(word, (at, active))
+        # The newest row of each value and word of the batch is all that can count, so state is read once for each of them.
+        batch = pd.concat(list(rows)).sort_values("tick", kind="stable")
+        newest = int(batch["tick"].iloc[-1])
+        tick = newest if tick is None else max(tick, newest)
+        budgets, statuses = batch[batch["set_budget"].notna()], batch[batch["set_status"].notna()]
+        if len(budgets) and (b_tick is None or budgets["tick"].iloc[-1] >= b_tick):
+            b_tick, budget = int(budgets["tick"].iloc[-1]), budgets["set_budget"].iloc[-1]
+        if len(statuses) and (s_tick is None or statuses["tick"].iloc[-1] >= s_tick):
+            s_tick, status = int(statuses["tick"].iloc[-1]), statuses["set_status"].iloc[-1]
+        changes = batch[batch["keyword"].notna()].drop_duplicates(["negative", "match_type", "keyword"], keep="last")
+        for negative, match_type, keyword, at, action in changes[["negative", "match_type", "keyword", "tick", "action"]].itertuples(index=False):
+            word = (bool(negative), match_type, keyword)
+            old = self.words.getValue(word) if self.words.containsKey(word) else None
+            if old is None or at >= old[0]:
+                active = action == "add"
+                change = int(active) - int(bool(old[1]) if old is not None else False)
+                if word[0]:
+                    minus += change
+                else:
+                    plus += change
+                self.words.updateValue(word, (int(at), active))
         self.latest.update((tick, b_tick, budget, s_tick, status))
         self.counts.update((plus, minus))
         yield pd.DataFrame(
