@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.session import scratch_dir
@@ -27,6 +29,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of all tables that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.pop()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the cluster's shared folder and go on from the files.
 
@@ -34,4 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in _RECORDS:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
+    """Delete written tables that nothing reads any more; those that ``but`` reads stay."""
+    read = but.inputFiles() if but is not None else []
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in file for file in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.common import stored
-from bidloom.llm.components import connected
+from bidloom.llm.components import connected, extended
 from bidloom.llm.words import mix64, shingles, span_hashes, split_words
 
 BANDS, ROWS, BATCH, MISS, PERCENT = 48, 6, 32, 1e-9, 80
@@ -138,9 +138,9 @@ def _id_filter(ids: DataFrame):
     """A bitmap of fixed size over hashes of ids, to keep texts that no pair needs out of the shuffle."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = ids.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(31).cast("int"))).alias("bits"))
+    rows = words.toArrow()  # at most FILTER_BITS / 32
     bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, bits in words.collect():
-        bitmap[w] = bits
+    bitmap[rows["w"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return ids.sparkSession.sparkContext.broadcast(bitmap)
 
 
@@ -309,10 +309,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
         rooted = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
         return rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    links = checked(best, "best")
-    roots = connected(links)
-    links = connected_edges(roots).unionAll(checked(apart(stars, roots), "star"))
-    roots = connected(links)
+    roots = connected(checked(best, "best"))
+    roots = extended(roots, checked(apart(stars, roots), "star"))
 
     rooted = members.join(roots, members["set_id"] == roots["node"], "left").select("key", "set_id", "low", F.coalesce("root", "set_id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
@@ -328,12 +326,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
 
     rare = left.select("key", "set_id").join(early.filter("pos = 0").select("set_id", "rarity"), "set_id")
     plain = rare.groupBy("key").agg(F.min(F.struct("rarity", "set_id"))["set_id"].alias("b"))
-    links = connected_edges(roots).unionAll(checked_sets(apart(rare.select("key", F.col("set_id").alias("a")).join(plain, "key").select("a", "b"), roots), "plain"))
-    roots = connected(links)
+    roots = extended(roots, checked_sets(apart(rare.select("key", F.col("set_id").alias("a")).join(plain, "key").select("a", "b"), roots), "plain"))
     placed = sets.select("set_id", "grp").join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "grp", F.coalesce("root", "set_id").alias("root"))
     rest = prefix_pairs(early, stored(placed, "placed"), percent)
-    links = connected_edges(roots).unionAll(checked_sets(rest, "rest"))
-    roots = connected(links)
+    roots = extended(roots, checked_sets(rest, "rest"))
 
     owned = reps.select("set_id", "doc_id").join(roots, reps["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     named = owned.join(owned.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set_id", "component_id")
@@ -342,10 +338,6 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def connected_edges(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those whose component has a lesser id."""
     dropped = near_groups(docs, shingle, percent).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()

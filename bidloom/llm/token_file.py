@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bidloom.llm.words import runs, span_hashes
 
 END_ID, SEGMENT_TOKENS, SEGMENT_DOCS, RANK_BITS = 2, 1 << 20, 4096, 512
-CACHE_SEGMENTS, RUN_TEXT_BYTES, JOINED_PIECES = 4_000_000, 8 << 20, 4096
+CACHE_SEGMENTS, RUN_TEXT_BYTES, JOINED_PIECES = 1_500_000, 4 << 20, 4096
 SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, "
     "levels array<binary>, bitmaps array<binary>, ranks array<binary>"
@@ -103,8 +103,27 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, places in ``flat`` and sizes
+        self.flat: list[np.ndarray] = []
+        self.n_ids = self.n_known = 0
+
+    def _keep(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Add sorted pieces; levels of like size are merged, so each piece is copied a few times only."""
+        self.levels.append((hashes, begin, size))
+        self.n_known += len(hashes)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+            joined = [np.concatenate(c) for c in zip(self.levels[-2], self.levels[-1])]
+            order = np.argsort(joined[0], kind="stable")
+            self.levels[-2:] = [tuple(c[order] for c in joined)]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``flat`` and sizes; size -1 where a piece is not known."""
+        begin, size = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int32)
+        for known, at, n in self.levels:
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = known[place] == hashes
+            begin[found], size[found] = at[place[found]], n[place[found]]
+        return begin, size
 
     def _encode_texts(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -159,24 +178,23 @@ class Encoder:
         distinct, inverse = np.unique(hashes, return_inverse=True)
         where = np.empty(len(distinct), np.int64)
         where[inverse] = np.arange(len(hashes))
-        if len(self.known) > CACHE_SEGMENTS:
+        if self.n_known > CACHE_SEGMENTS:
             self._clear()
-        place = np.searchsorted(self.known, distinct)
-        found = np.zeros(len(distinct), dtype=bool)
-        inside = place < len(self.known)
-        found[inside] = self.known[place[inside]] == distinct[inside]
-        if not found.all():
-            at = where[~found]
-            got, size = self._encode_pieces(data, starts[at], ends[at])
-            begin = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.append(self.flat, got)
-            self.known = np.insert(self.known, place[~found], distinct[~found])
-            self.begin = np.insert(self.begin, place[~found], begin)
-            self.size = np.insert(self.size, place[~found], size)
-        place = np.searchsorted(self.known, distinct)[inverse]
-        size, begin = self.size[place], self.begin[place]
+        begin, size = self._find(distinct)
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            at = where[new]
+            got, n = self._encode_pieces(data, starts[at], ends[at])
+            begin[new] = self.n_ids + np.cumsum(n) - n
+            size[new] = n
+            self.flat.append(got)
+            self.n_ids += len(got)
+            self._keep(distinct[new], begin[new], size[new])
+        flat = np.concatenate(self.flat)
+        self.flat = [flat]
+        size, begin = size[inverse].astype(np.int64), begin[inverse]
         first = np.cumsum(size) - size
-        ids = self.flat[np.repeat(begin - first, size) + np.arange(int(size.sum()))]
+        ids = flat[np.repeat(begin - first, size) + np.arange(int(size.sum()))]
         doc = np.searchsorted(offsets, starts, side="right") - 1
         return ids, np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64)
 

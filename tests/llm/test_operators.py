@@ -113,12 +113,45 @@ def test_posterior_bounds():
     assert floor[-1] < 0.8 * 288
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("local", [0, 1 << 18])
+def test_connected(spark, local):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7), (200, 100)]
-    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long"), local).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 200: 100, 300: 100}
 
 
+@pytest.mark.parametrize("local", [0, 1 << 18])
+def test_extended(spark, local):
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    rng = random.Random(9)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    more = [(rng.randrange(60), rng.randrange(60)) for _ in range(20)] + [(3, 3)]
+    roots = components.connected(frame(first), local)
+    for new in (more, [], [(70, 71)]):
+        roots, first = components.extended(roots, frame(new), local), first + new
+        nodes, least = components.least_nodes(*np.array(first).T)
+        want = {int(n): int(r) for n, r in zip(nodes, least) if n != r}
+        got = [tuple(r) for r in roots.collect()]
+        assert dict(got) == want and len(got) == len(want)
+
+
+def test_least_nodes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 30, 400):
+        a, b = rng.integers(-50, 300, (2, n))
+        parent = {x: x for x in {*a.tolist(), *b.tolist()}}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            parent[max(find(x), find(y))] = min(find(x), find(y))
+        nodes, least = components.least_nodes(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist())) == {x: find(x) for x in parent}
+
+
 def test_repeats(corpus):
     docs, rows = corpus
     seen = defaultdict(set)
