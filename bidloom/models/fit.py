@@ -37,7 +37,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 ENSEMBLES = {"ensemble": ["ridge", "random_forest", "xgboost"], "ensemble_ridge_xgb": ["ridge", "xgboost"]}
 POOR_R2 = 0.3
 SEED = 42
-PARALLEL_JOBS = 4
+PARALLEL_JOBS = 8
 
 
 @dataclass
