@@ -118,9 +118,9 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     fits = joined.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & F.col("doc_a").isNotNull() & F.col("doc_b").isNotNull())
     kind = reps.schema["doc_id"].dataType.simpleString()
+    floor = least_matches(percent / 100)  # once, not in every task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = least_matches(percent / 100)
         for batch in batches:
             size = BANDS * ROWS
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, size) for i in (4, 5))
