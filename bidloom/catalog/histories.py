@@ -9,7 +9,7 @@ from bidloom.catalog.registry import query
 from bidloom.functions import text as T
 from bidloom.functions.grouped import following
 from bidloom.operators import history as H
-from bidloom.session import cut_lineage
+from bidloom.session import cut_lineage, stored_table
 
 
 def _log(spark, sf):
@@ -99,9 +99,7 @@ shown AS (SELECT h.owner, h.campaign, h.tick, w.negative, w.match_type, w.keywor
 SELECT campaign, tick, negative, CAST(count(*) AS BIGINT) AS n_keywords, string_agg(keyword, ';' ORDER BY keyword) AS keywords FROM shown GROUP BY ALL""")
 def h6k(spark, sf):
     heads, spans = H.snapshot_heads(*_log(spark, sf))
-    rows = H.snapshot_members(heads, spans)
-    return rows.groupBy("campaign", "tick", "negative").agg(
-        F.count(F.lit(1)).alias("n_keywords"), F.array_join(F.array_sort(F.collect_list("keyword")), ";").alias("keywords"))
+    return H.snapshot_members(heads, spans).withColumn("keywords", F.array_join("keywords", ";"))
 
 
 FILL = """
@@ -155,9 +153,9 @@ cover AS (SELECT *, CAST(row_number() OVER (ORDER BY campaign, start_date) AS IN
 
 
 def _coverage(spark, sf):
-    # the snapshots feed five joins: written once to the checkpoint folder
+    # the snapshots feed five joins: written once, by columns, as most of them read no list
     acts, names = _log(spark, sf)
-    snaps = cut_lineage(H.campaign_snapshots(acts, names))
+    snaps = stored_table(H.campaign_snapshots(acts, names), "snapshots")
     return H.number_versions(H.coverage_summary(R.change_kw_index(spark, sf), snaps, names))
 
 

@@ -7,11 +7,16 @@ event kinds follow the sequence keyword, negative keyword, budget, status.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from bidloom.functions import text as T
 from bidloom.functions.grouped import carry, first_per_key, following
@@ -22,6 +27,12 @@ from bidloom.session import cut_lineage
 KIND_SEQUENCE = {"keyword": 0, "negative_keyword": 1, "budget": 2, "status": 3}
 KINDS = 4
 
+# Snapshots per cell of an owner's time line, cells at most, bits of the grid their bounds lie on, comparisons held at once.
+CELL_ROWS, MOST_CELLS, GRID_BITS, BLOCK = 1024, 1 << 16, 20, 1 << 22
+NEVER = -(2**62)  # a place no span holds
+WORD_FIELDS = {
+    f"{'negative_' if negative else ''}{c}": (negative, mt) for negative in (False, True) for mt, c in T.LIST_COLUMNS.items()
+}
 
 def tick_of(order: Column, kind: str) -> Column:
     return -order * KINDS + KIND_SEQUENCE[kind]
@@ -281,13 +292,91 @@ def snapshot_heads(actions: DataFrame, names: Names) -> tuple[DataFrame, DataFra
     return out.drop("_next", "_renamed", "_change", "_seq", "set_budget", "set_status"), keyword_spans(words)
 
 
+def replay_cells(points: DataFrame, at: str = "tick", cell_rows: int = CELL_ROWS) -> Callable[[Column, Column], Column]:
+    """The number of the cell of a place on an owner's time line, as a column function of (owner, place).
+
+    A cell holds about ``cell_rows`` points of one owner, more when there would be over ``MOST_CELLS`` cells. The bounds come from counts on a
+    grid over the points' range; only the bounds of owners with several cells reach the driver.
+    """
+    least, most, n = points.agg(F.min(at), F.max(at), F.count(at)).first()
+    least, most = (0, 0) if least is None else (least, most)
+    shift, size = max(0, int(most - least).bit_length() - GRID_BITS), max(cell_rows, n // MOST_CELLS)
+    known = points.filter(F.col("owner").isNotNull() & F.col(at).isNotNull())
+    grid = known.groupBy("owner", F.shiftright(F.col(at) - F.lit(least), shift).alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("owner").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    cut = grid.withColumn("_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / size))
+    starts = cut.filter("_cell > 0").groupBy("owner", "_cell").agg(F.min("_place").alias("_place"))
+    bounds: dict[str, list[int]] = {}
+    for row in starts.collect():
+        bounds.setdefault(row["owner"], []).append(least + (row["_place"] << shift))
+    shared = points.sparkSession.sparkContext.broadcast({owner: np.sort(np.array(v, dtype=np.int64)) for owner, v in bounds.items()})
+
+    @F.pandas_udf("int")
+    def cell(owner: pd.Series, place: pd.Series) -> pd.Series:
+        out, places = np.zeros(len(owner), dtype=np.int32), place.fillna(NEVER).to_numpy(dtype=np.int64)
+        for name, rows in owner.groupby(owner, sort=False).indices.items():
+            if name in shared.value:
+                out[rows] = np.searchsorted(shared.value[name], places[rows], side="right")
+        return pd.Series(out)
+
+    return cell
+
+
+def shown_words(points: DataFrame, spans: DataFrame, cell: Callable[[Column, Column], Column], fields: dict[str, tuple[bool, str]], at: str = "tick") -> DataFrame:
+    """``points`` with sorted word arrays: for each ``name -> (negative, match type)`` the words of the owner's spans that hold ``at``.
+
+    Points and spans meet per cell of the owner's time line, where the spans are compared with all ticks at once; a span is listed in the
+    cells it covers. So what is shuffled grows with points and spans, and the words a point shows are made where its row leaves.
+    """
+    last = F.lit(2**62).cast("bigint")
+    ends = F.greatest(F.col("from_tick"), F.coalesce(F.col("to_tick"), last) - 1)
+    held = spans.filter("owner IS NOT NULL AND from_tick IS NOT NULL").withColumn(
+        "_cell", F.explode(F.sequence(cell(F.col("owner"), F.col("from_tick")), cell(F.col("owner"), ends)))
+    ).select("owner", "_cell", "negative", "match_type", "keyword", "from_tick", F.coalesce("to_tick", last).alias("to_tick"))
+    placed = points.withColumn("_cell", cell(F.col("owner"), F.col(at)))
+    names = points.columns
+    schema = StructType([*points.schema.fields, *[StructField(name, ArrayType(StringType())) for name in fields]])
+
+    def show(rows: pa.Table, words: pa.Table) -> pa.Table:
+        rows = rows.select(names)
+        places = rows[at].fill_null(NEVER).to_numpy()
+        order = np.argsort(places, kind="stable")
+        rows, places = rows.take(order), places[order]
+        words = words.sort_by("keyword")
+        low, high = words["from_tick"].to_numpy(), words["to_tick"].to_numpy()
+        negative, types = words["negative"].to_numpy(), words["match_type"].to_numpy()
+        keywords, out = words["keyword"].combine_chunks(), {}
+        for name, (sign, kind) in fields.items():
+            own = np.flatnonzero((negative == sign) & (types == kind))
+            sizes, picked = [np.zeros(1, dtype=np.int64)], [own[:0]]
+            step = max(1, min(CELL_ROWS, BLOCK // max(1, len(own))))
+            for start in range(0, len(places), step):
+                part = places[start : start + step]
+                near = own[(low[own] <= part[-1]) & (high[own] > part[0])]
+                hit = (low[near] <= part[:, None]) & (part[:, None] < high[near])
+                sizes.append(hit.sum(axis=1))
+                picked.append(near[np.nonzero(hit)[1]])
+            offsets = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32))
+            out[name] = pa.ListArray.from_arrays(offsets, keywords.take(pa.array(np.concatenate(picked))))
+        return pa.table({**{c: rows[c] for c in names}, **out})
+
+    return placed.groupBy("owner", "_cell").cogroup(held.groupBy("owner", "_cell")).applyInArrow(show, schema)
+
+
 def snapshot_members(heads: DataFrame, spans: DataFrame) -> DataFrame:
-    """Long (owner, campaign, tick, negative, match_type, keyword): the words each snapshot shows.
+    """(campaign, tick, negative, n_keywords, keywords): the words each snapshot shows, sorted; those without words are left out.
 
-    A removal span covers one tick of its own campaign, an add span a range of ticks; both are found through the owner's interval tree.
+    Snapshots of one campaign and tick are one row that lists its words once for each of them, as they would be grouped.
     """
-    held = stab_join(heads.select("owner", "campaign", "tick"), spans, ["owner"], "tick", "from_tick", "to_tick")
-    return held.select("owner", "campaign", "tick", "negative", "match_type", "keyword")
+    points = cut_lineage(heads.groupBy("owner", "campaign", "tick").agg(F.count(F.lit(1)).alias("_times")).filter("tick IS NOT NULL"))
+    shown = shown_words(points, spans, replay_cells(points), WORD_FIELDS)
+
+    def of(negative: bool) -> Column:
+        words = F.concat(*[F.col(name) for name, (sign, _) in WORD_FIELDS.items() if sign == negative])
+        return F.struct(F.lit(negative).alias("negative"), F.flatten(F.array_repeat(words, F.col("_times").cast("int"))).alias("words"))
+
+    rows = shown.select("campaign", "tick", F.explode(F.array(of(False), of(True))).alias("s")).filter(F.size("s.words") > 0)
+    return rows.select("campaign", "tick", "s.negative", F.size("s.words").cast("bigint").alias("n_keywords"), F.sort_array("s.words").alias("keywords"))
 
 
 def fill_empty_sets(heads: DataFrame, filled: DataFrame) -> DataFrame:
@@ -305,22 +394,12 @@ def fill_empty_sets(heads: DataFrame, filled: DataFrame) -> DataFrame:
     return rows.withColumn("donor", F.coalesce("_own", "_later", "_earlier")).drop("_own", "_later", "_earlier", "_seq")
 
 
-def _lists(members_of: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts and text lists per snapshot from its long member rows."""
-
-    def words(mt: str | None, negative: bool) -> Column:
-        test = F.col("negative") == negative
-        if mt is not None:
-            test = test & (F.col("match_type") == mt)
-        return F.array_sort(F.collect_set(F.when(test, F.col("keyword"))))
-
-    cols = {}
-    for negative, tag in ((False, ""), (True, "negative_")):
-        for mt, c in T.LIST_COLUMNS.items():
-            cols[tag + c] = words(mt, negative)
-    cols["unique_keywords"] = words(None, False)
-    cols["negative_keywords"] = words(None, True)
-    return members_of.groupBy(*keys).agg(*[F.array_join(v, T.LIST_JOINER).alias(k) for k, v in cols.items()])
+def _lists(shown: DataFrame) -> DataFrame:
+    """Text lists of a snapshot from its word arrays."""
+    cols = {name: F.col(name) for name in WORD_FIELDS}
+    for name, sign in (("unique_keywords", False), ("negative_keywords", True)):
+        cols[name] = F.sort_array(F.array_distinct(F.concat(*[F.col(c) for c, (negative, _) in WORD_FIELDS.items() if negative == sign])))
+    return shown.withColumns({name: F.array_join(words, T.LIST_JOINER) for name, words in cols.items()})
 
 
 LIST_FIELDS = [
@@ -351,19 +430,20 @@ def campaign_snapshots(actions: DataFrame, names: Names | None = None) -> DataFr
     Heads are stored with their state, since the fill and the list joins read them again.
     """
     names = names or read_names(actions)
-    heads, spans = snapshot_heads(actions, names)
-    heads = cut_lineage(heads)
-    positive, negative = spans.filter("NOT negative"), spans.filter("negative")
-    filled = snapshot_members(heads, positive).select("owner", "campaign", "tick").distinct()
+    heads, spans = (cut_lineage(df) for df in snapshot_heads(actions, names))
+    cell = replay_cells(heads)
+    positive, negative = ({name: f for name, f in WORD_FIELDS.items() if f[0] == sign} for sign in (False, True))
+    keys = ["owner", "campaign", "tick"]
+    own = shown_words(heads.select(*keys).filter("tick IS NOT NULL").distinct(), spans.filter("NOT negative"), cell, positive)
+    filled = own.filter(reduce(lambda a, b: a | b, [F.size(c) > 0 for c in positive])).select(*keys)
     donors = cut_lineage(fill_empty_sets(heads, filled))
-    lenders = donors.filter("donor IS NOT NULL").select(
-        "owner", "campaign", F.col("tick").alias("_at"), F.col("donor.tick").alias("tick")
-    )
-    held = stab_join(lenders, positive, ["owner"], "tick", "from_tick", "to_tick")
-    lent = held.select("owner", "campaign", F.col("_at").alias("tick"), "negative", "match_type", "keyword")
-    lists = _lists(lent.unionByName(snapshot_members(heads, negative)), ["owner", "campaign", "tick"])
-    out = donors.drop("donor").join(lists, ["owner", "campaign", "tick"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in LIST_FIELDS})
+    at = F.when(F.col("tick").isNotNull(), F.col("donor.tick"))
+    rows = donors.withColumn("_donor", at).drop("donor")
+    lent = F.col("_donor").isNotNull() & (F.col("_donor") != F.col("tick"))
+    # a snapshot with words of its own shows both signs at its own tick; the others take their positive words from the donor's cell
+    whole = shown_words(rows.filter(~lent), spans, cell, WORD_FIELDS)
+    filler = shown_words(shown_words(rows.filter(lent), spans.filter("negative"), cell, negative), spans.filter("NOT negative"), cell, positive, "_donor")
+    return _lists(whole.unionByName(filler)).drop("_donor").select(*[c for c in donors.columns if c != "donor"], *LIST_FIELDS)
 
 
 # --- coverage intervals and set ids --------------------------------------------------------
@@ -438,6 +518,11 @@ def coverage_summary(report_index: DataFrame, snapshots: DataFrame, names: Names
         "owner", F.col("date").alias("start_date"), "order", F.col("tick").alias("_tick"),
         *[c for c in state_cols if c != "log_keywords"], F.col("unique_keywords").alias("log_keywords"),
     )
+    # of a day's snapshots the last one is the state that day leaves; it is found by its narrow key
+    last = history.groupBy("owner", "start_date").agg(F.max(F.struct("order", "_tick")).alias("_last"))
+    last = last.select(*[F.col(c).alias(f"_l_{c}") for c in ("owner", "start_date")], "_last.*").withColumnsRenamed({"order": "_l_order", "_tick": "_l__tick"})
+    same = [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in ("owner", "start_date", "order", "_tick")]
+    history = history.join(last, same, "left_semi")
     probes = rows.select("owner", "campaign", "start_date")
     attached = asof_backward(probes, history, ["owner"], "start_date", ["order", "_tick"], state_cols).drop("owner")
     kinds = snaps.groupBy("owner", F.col("date").alias("start_date")).agg(
