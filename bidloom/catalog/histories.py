@@ -301,7 +301,7 @@ SELECT region, keyword, 'raw_only' AS side FROM (SELECT * FROM r EXCEPT SELECT *
 UNION ALL SELECT region, keyword, 'log_only' FROM (SELECT * FROM l EXCEPT SELECT * FROM r)""")
 def u3(spark, sf):
     from bidloom.operators import keyword_sets as K
-    seen = cut_lineage(R.kw_day(spark, sf).filter("region IS NOT NULL").select("region", "match_type", "keyword").distinct())
+    seen = cut_lineage(R.kw_words(spark, sf).groupBy("region", "match_type", "keyword").agg(F.count("region").alias("_known")).filter("_known > 0").drop("_known"))
     pick = lambda mt: seen.filter(F.col("match_type") == mt).select("region", "keyword")
     return K.keyword_differences(pick("Broad"), pick("Exact"), ["region"])
 
