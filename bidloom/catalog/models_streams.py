@@ -15,7 +15,7 @@ from bidloom.operators import history as H
 from bidloom.operators import panel as P
 from bidloom.operators import scoring as Q
 from bidloom.operators import splits as V
-from bidloom.session import cut_lineage, scratch_dir
+from bidloom.session import cut_lineage, scratch_dir, stored_table
 from bidloom.streaming import jobs
 
 
@@ -233,14 +233,18 @@ def r1(spark, sf):
     """The report arrives in the order of its days, but every 50th row comes at the end, too late for most days."""
     folder, out = scratch_dir(spark, "report-in"), scratch_dir(spark, "report-days")
     text = R.kw_raw(spark, sf).drop("feed")
-    rows = cut_lineage(text.select(*[F.col(c).cast("string").alias(c) for c in text.columns]))
-    last = F.pmod(F.xxhash64(*rows.columns), F.lit(50)) == 0
-    for year in sorted(r[0] for r in rows.select(F.substring("date", 1, 4)).distinct().collect()):
-        rows.filter(~last & (F.substring("date", 1, 4) == year)).coalesce(1).write.mode("append").parquet(folder)
-    rows.filter(last).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.report_stream(spark, folder, fmt="parquet", files_per_trigger=1)
+    rows = text.select(*[F.col(c).cast("string").alias(c) for c in text.columns])
+    last = (F.pmod(F.xxhash64(*rows.columns), F.lit(50)) == 0) | F.col("date").isNull()
+    # written once, by arrival; an arrival is as many files as the cluster reads side by side, and one batch of the stream
+    arrival = F.when(last, F.lit("late")).otherwise(F.concat(F.lit("y"), F.substring("date", 1, 4)))
+    given, files = scratch_dir(spark, "report-rows"), spark.sparkContext.defaultParallelism
+    rows.withColumn("arrival", arrival).write.partitionBy("arrival").parquet(given)
+    rows = spark.read.schema(rows.schema.add("arrival", "string")).parquet(given)
+    for name in sorted((r[0] for r in rows.select("arrival").distinct().collect()), key=lambda a: (a == "late", a)):
+        rows.filter(F.col("arrival") == name).drop("arrival").repartition(files).write.mode("append").parquet(folder)
+    stream = jobs.report_stream(spark, folder, fmt="parquet", files_per_trigger=files)
     jobs.start(jobs.streaming_campaign_days(stream), jobs.upsert_days(out), scratch_dir(spark, "ckpt")).awaitTermination()
-    report = cut_lineage(P.clean_report(rows))
+    report = stored_table(P.clean_report(rows.drop("arrival")).select(*jobs.DAY_KEYS, "clicks", "cost", "all_conv"), "report")
     missed = cut_lineage(jobs.missed_days(spark.read.parquet(out), report))
     jobs.reconcile(out, missed, report)
     return rounded(spark.read.parquet(out).drop("month", "n_rows"), 6, "cost", "all_conv")
@@ -266,10 +270,11 @@ n AS (SELECT owner, count(*) FILTER (WHERE NOT negative AND action = 'add') AS p
 SELECT o.owner, b.daily_budget, s.status, CAST(coalesce(n.p, 0) AS BIGINT) AS n_keywords, CAST(coalesce(n.m, 0) AS BIGINT) AS n_negative_keywords
 FROM (SELECT DISTINCT owner FROM named_ev) o LEFT JOIN b USING (owner) LEFT JOIN s USING (owner) LEFT JOIN n USING (owner)""")
 def r3(spark, sf):
-    acts = R.change_actions(spark, sf)
+    acts = cut_lineage(R.change_actions(spark, sf))  # stored once: every event kind reads the log
     events = H.state_events(acts, H.read_names(acts))
     folder, out = scratch_dir(spark, "events-in"), scratch_dir(spark, "states")
-    events.write.parquet(folder)
+    # as many files as the cluster writes side by side, whatever the number of pieces the log was read in
+    events.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(folder)
     conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -123,6 +123,14 @@ def start(df: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: s
     )
 
 
+def newest_rows(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a piece that can count: the newest of all, of each value and of each word; the later one among equal ticks."""
+    part = part.sort_values("tick", kind="stable")
+    words = part[part["keyword"].notna()].drop_duplicates(["negative", "match_type", "keyword"], keep="last")
+    values = [part[part[c].notna()].tail(1) for c in ("set_budget", "set_status")]
+    return part[part.index.isin(pd.concat([words, *values, part.tail(1)]).index)]
+
+
 class CampaignState(StatefulProcessor):
     """Current budget, status and active keywords of one campaign.
 
@@ -140,7 +148,7 @@ class CampaignState(StatefulProcessor):
         tick, b_tick, budget, s_tick, status = self.latest.get() if self.latest.exists() else (None, None, None, None, None)
         plus, minus = self.counts.get() if self.counts.exists() else (0, 0)
         # The newest row of each value and word of the batch is all that can count, so state is read once for each of them.
-        batch = pd.concat(list(rows)).sort_values("tick", kind="stable")
+        batch = pd.concat([newest_rows(part) for part in rows]).sort_values("tick", kind="stable")
         newest = int(batch["tick"].iloc[-1])
         tick = newest if tick is None else max(tick, newest)
         budgets, statuses = batch[batch["set_budget"].notna()], batch[batch["set_status"].notna()]

@@ -62,3 +62,16 @@ def test_days_are_appended_once(spark):
     write(rows((40, 2.0, 9.0), (41, 0.0, 0.0)), 1)
     got = sorted((r["day"].day, r["x"], r["y"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, 1.0, 5.0), (10, 2.0, 9.0), (11, 0.0, 0.0)]
+
+
+def test_newest_rows_keep_what_counts():
+    import pandas as pd
+
+    from bidloom.streaming.jobs import newest_rows
+    rows = pd.DataFrame(
+        [(5, "1", None, None, None, None, None), (7, "2", None, None, None, None, None), (7, "3", None, None, None, None, None), (6, None, "active", None, None, None, None),
+         (1, None, None, False, "Exact", "w", "add"), (4, None, None, False, "Exact", "w", "remove"), (9, None, None, True, "Exact", "w", "add")],
+        columns=["tick", "set_budget", "set_status", "negative", "match_type", "keyword", "action"])
+    left = newest_rows(rows)
+    assert sorted(left["tick"]) == [4, 6, 7, 9]
+    assert left[left["set_budget"].notna()]["set_budget"].tolist() == ["3"]
