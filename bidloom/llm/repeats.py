@@ -6,7 +6,8 @@ Suffixes whose first ``KEY`` words occur nowhere else can have no partner and ar
 the right and by the words to the left; each is compared with its neighbour, and the match is extended to both sides. The neighbours also
 bound how far any match of a suffix can reach on either side. Where these bounds leave windows of ``PASSAGE`` words that no neighbour shares,
 windows of the same key and the same places in them are sorted by hash and compared with their neighbours in that order. A window belongs
-to one place, the least of its first ``WINDOW``, and suffixes with the same words on both sides give their windows once. Stretches of ``PASSAGE`` or more equal words are united
+to one place, the least of its first ``WINDOW``, and suffixes with the same words on both sides give their windows once; keys of many
+places are dealt to several tasks. Stretches of ``PASSAGE`` or more equal words are united
 per document.
 
 Words are runs without ASCII white space, A-Z in lower case. Sorting is by ranges of the whole suffix key and the document, so copies
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from bidloom.llm.common import stored
 from bidloom.llm.words import _MULT, mix64, shingles, span_hashes, split_words
 
 PASSAGE, KEY, WINDOW = 50, 8, 42
+HOT = 4000  # places of one key that meet in one task; a key with more is dealt to several
 REACH = PASSAGE  # words looked at on each side of a place; places are at most WINDOW apart, so stretches overlap
 
 
@@ -237,10 +239,27 @@ def _open_ranges(by_right: DataFrame, by_left: DataFrame, passage: int) -> DataF
     return full.groupBy("key").agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
 
-def windows(suffixes: DataFrame, ranges: DataFrame, passage: int) -> DataFrame:
+def hot_keys(counted: DataFrame, hot: int) -> DataFrame:
+    """(key, parts): the keys of more than ``hot`` places, at most one in ``hot`` places, and the number of parts each is dealt to."""
+    return counted.filter(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+
+
+def dealt(rows: DataFrame, often: DataFrame, by: Column) -> DataFrame:
+    """``rows`` with ``part``: 0, or for a hot key the part that ``by`` (a hash of the row) falls to."""
+    found = rows.join(F.broadcast(often), "key", "left")
+    return found.withColumn("part", F.coalesce(F.pmod(by, F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+
+
+def in_all_parts(keys: DataFrame, often: DataFrame) -> DataFrame:
+    """``keys`` (one row per key) once for every part of the key."""
+    found = keys.join(F.broadcast(often), "key", "left")
+    return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def windows(suffixes: DataFrame, ranges: DataFrame, often: DataFrame, passage: int) -> DataFrame:
     """(window, doc_id, begin): hash of each window of ``passage`` words that belongs to its place and lies in the key's range.
 
-    Suffixes with the same words on both sides are matched as neighbours already; one of them stands for all.
+    Suffixes with the same words on both sides are matched as neighbours already; one of them stands for all, before the ranges are looked up.
     """
     kind = suffixes.schema["doc_id"].dataType.simpleString()
 
@@ -266,9 +285,11 @@ def windows(suffixes: DataFrame, ranges: DataFrame, passage: int) -> DataFrame:
                 arrays = [pa.array(mix64(hashes[i, at]).view(np.int64)), batch.column(0).take(pa.array(i)), pa.array(begin)]
                 yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "begin"])
 
-    asked = suffixes.join(ranges, "key").withColumns({"low": F.greatest("low", "from"), "high": F.least("high", "to")}).filter("low <= high")
-    one = asked.groupBy("key", F.xxhash64("right", "left").alias("words")).agg(F.min(F.struct("doc_id", "pos", "right", "left", "low", "high")).alias("s"))
-    return one.select("s.*").mapInArrow(run, f"window bigint, doc_id {kind}, begin int")
+    one = suffixes.groupBy("key", "words").agg(F.min(F.struct("doc_id", "pos", "number", "low", "high")).alias("s")).select("key", "words", "s.*")
+    met = dealt(one, often, F.col("words")).join(in_all_parts(ranges, often), ["key", "part"])
+    asked = met.select("number", F.greatest("low", "from").alias("low"), F.least("high", "to").alias("high")).filter("low <= high")
+    full = suffixes.select("number", "doc_id", "pos", "right", "left").join(asked, "number").drop("number")
+    return full.mapInArrow(run, f"window bigint, doc_id {kind}, begin int")
 
 
 def _window_spans(found: DataFrame, passage: int) -> DataFrame:
@@ -327,7 +348,7 @@ def _united(spans: DataFrame) -> DataFrame:
     return merged.select("doc_id", "begin", "end", "partner")
 
 
-def find_repeats(docs: DataFrame, passage: int = PASSAGE, key: int = KEY, window: int = WINDOW) -> DataFrame:
+def find_repeats(docs: DataFrame, passage: int = PASSAGE, key: int = KEY, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc_id, begin, end, partner): every stretch of ``passage`` or more words that occurs elsewhere too, as a range of word places.
 
     ``partner`` is the least document id that one of its parts was matched with.
@@ -335,14 +356,16 @@ def find_repeats(docs: DataFrame, passage: int = PASSAGE, key: int = KEY, window
     if key + window - 1 > passage:
         raise ValueError("a passage must hold a whole window of places")
     places = stored(suffix_places(docs, passage, key, window), "suffix-places")
-    shared = places.groupBy("key").count().filter("count > 1").select("key")
-    kept = places.join(shared, "key").select("doc_id", "pos")
-    suffixes = stored(with_context(docs, kept, key, passage, window), "suffixes")
+    shared = stored(places.groupBy("key").count().filter("count > 1"), "shared-keys")
+    often = hot_keys(shared, hot)
+    kept = dealt(places, often, F.xxhash64("doc_id", "pos")).join(in_all_parts(shared, often), ["key", "part"], "left_semi").select("doc_id", "pos")
+    found = with_context(docs, kept, key, passage, window)
+    suffixes = stored(found.withColumns({"words": F.xxhash64("right", "left"), "number": F.monotonically_increasing_id()}), "suffixes")
     spans, orders = None, []
     for side, other in (("right", "left"), ("left", "right")):
         found = stored(neighbours(suffixes, side, other, passage, key), f"by-{side}")
         part = found.filter("edge = -1").select("doc_id", "begin", "end", "partner").distinct().unionAll(_edge_spans(found, passage))
         spans = part if spans is None else spans.unionAll(part)
         orders.append(found)
-    more = stored(windows(suffixes, _open_ranges(*orders, passage), passage), "windows")
+    more = stored(windows(suffixes, _open_ranges(*orders, passage), often, passage), "windows")
     return _united(spans.unionAll(_window_spans(more, passage)).distinct())

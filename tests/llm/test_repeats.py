@@ -39,3 +39,44 @@ def test_windows_of_one_hash_over_partitions(spark):
     assert {(r["doc_id"], r["begin"]) for r in spans} == want and all(r["partner"] != r["doc_id"] and r["end"] == r["begin"] + 50 for r in spans)
     alone = spark.createDataFrame([(1, 2, 3)], "window long, doc_id long, begin int")
     assert repeats._window_spans(alone, 50).count() == 0
+
+
+def _line_documents(n):
+    """Documents around one line of 45 words, which chance words on both sides make a passage of, and copies of the first."""
+    rng = random.Random(5)
+    line = " ".join(f"w{i}" for i in range(45))
+    side = lambda: " ".join(f"s{rng.randrange(3)}" for _ in range(4))
+    far = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
+    texts = [f"{far()} {side()} {line} {side()} {far()}" for _ in range(n)]
+    return [(i, t) for i, t in enumerate(texts)] + [(n + i, texts[0]) for i in range(n)]
+
+
+def test_hot_keys_meet_in_parts(spark):
+    rows = _line_documents(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in repeats.find_repeats(docs, hot=5).collect()}
+    assert got == {tuple(r) for r in repeats.find_repeats(docs, hot=10**9).collect()}
+    words = {i: t.split() for i, t in rows}
+    seen = {}
+    for i, w in words.items():
+        for b in range(len(w) - 49):
+            seen.setdefault(tuple(w[b : b + 50]), set()).add((i, b + 50))
+    want = {(i, b) for places in seen.values() if len(places) > 1 for i, e in places for b in range(e - 50, e)}
+    assert {(r[0], b) for r in got for b in range(r[1], r[2])} == want
+    places = repeats.suffix_places(docs, 50, 8, 42)
+    counted = places.groupBy("key").count()
+    often = repeats.hot_keys(counted, 5)
+    spread = repeats.dealt(places, often, repeats.F.xxhash64("doc_id", "pos")).join(repeats.in_all_parts(counted, often), ["key", "part"], "left_semi")
+    assert spread.count() == places.count()
+    most = counted.agg({"count": "max"}).first()[0]
+    assert most >= 60 and spread.groupBy("key", "part").count().agg({"count": "max"}).first()[0] < most / 3
+
+
+def test_copies_are_one_row_where_ranges_are_looked_up(spark):
+    words = bytes(200)
+    rows = [(i, 60, 1, 10, 40, words, words, 7, i) for i in range(50)] + [(50, 60, 1, 10, 40, words[::-1], bytes([1]) * 200, 8, 50)]
+    schema = "doc_id long, pos int, key long, low int, high int, right binary, left binary, words long, number long"
+    ranges = spark.createDataFrame([(1, 20, 22)], "key long, `from` int, `to` int")
+    often = spark.createDataFrame([(1, 4)], "key long, parts int")
+    found = repeats.windows(spark.createDataFrame(rows, schema), ranges, often, 50).collect()
+    assert sorted((r["doc_id"], r["begin"]) for r in found) == [(d, b) for d in (0, 50) for b in (30, 31, 32)]
