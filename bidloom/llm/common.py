@@ -43,13 +43,28 @@ def recorded() -> Iterator[list[str]]:
         _RECORDS.pop()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the cluster's shared folder and go on from the files.
+def most_tasks(spark: SparkSession, parts: int) -> int | None:
+    """How many tasks write a table derived from one of ``parts`` parts: as many, and two for each core at least.
+
+    None, for any number, unless shuffles have more than twice as many partitions: merging a few would only make tasks uneven. So files
+    follow the data where Spark does not coalesce partitions itself. A local store starts several processes for each file, and each counts
+    with the whole memory of its executor until it runs a program of its own.
+    """
+    least = max(parts, 2 * spark.sparkContext.defaultParallelism)
+    return least if int(spark.conf.get("spark.sql.shuffle.partitions")) > 2 * least else None
+
+
+def merged(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df.coalesce(tasks) if tasks else df
+
+
+def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write ``df`` once to the cluster's shared folder, by at most ``tasks`` tasks if given, and go on from the files.
 
     The files hold the rows against lost executors; they lie below the session's checkpoint folder and go with it.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    merged(df, tasks).write.parquet(path)
     for paths in _RECORDS:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

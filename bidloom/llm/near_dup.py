@@ -21,14 +21,14 @@ sets only. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import stored
+from bidloom.llm.common import most_tasks, stored
 from bidloom.llm.components import connected, extended
 from bidloom.llm.words import mix64, shingles, span_hashes, split_words
 
@@ -288,20 +288,22 @@ def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id of its component), kept."""
     sigs = stored(signatures(docs, shingle), "signatures")
+    tasks = most_tasks(docs.sparkSession, len(sigs.inputFiles()))
+    put, join_up, widen = (partial(f, tasks=tasks) for f in (stored, connected, extended))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "sig", "bands")).alias("r")
-    reps = stored(sigs.filter("n > 0").groupBy("set_id").agg(least).select("set_id", "r.doc_id", "r.n", "r.sig", "r.bands"), "classes")
+    reps = put(sigs.filter("n > 0").groupBy("set_id").agg(least).select("set_id", "r.doc_id", "r.n", "r.sig", "r.bands"), "classes")
     banded = reps.select("set_id", F.explode("bands").alias("key"))
     drawn = F.min_by("set_id", F.xxhash64("key", "set_id")).alias("drawn")
     ends = banded.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), drawn).filter("low <> high")
-    members = stored(banded.join(ends, "key"), "buckets")
+    members = put(banded.join(ends, "key"), "buckets")
 
     starred = reduce(DataFrame.unionAll, [members.filter(f"set_id <> {c}").select("set_id", F.col(c).alias("center")) for c in ("low", "high", "drawn")])
-    stars = stored(starred.select(F.col("set_id").alias("a"), F.col("center").alias("b")).groupBy("a", "b").count(), "stars")
+    stars = put(starred.select(F.col("set_id").alias("a"), F.col("center").alias("b")).groupBy("a", "b").count(), "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b"))
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        survivors = stored(likely(pairs, reps, percent), f"{name}-likely")
-        return stored(confirmed(survivors, docs, shingle, percent), f"{name}-links")
+        survivors = put(likely(pairs, reps, percent), f"{name}-likely")
+        return put(confirmed(survivors, docs, shingle, percent), f"{name}-links")
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet known to belong together."""
@@ -309,27 +311,27 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
         rooted = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
         return rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    roots = connected(checked(best, "best"))
-    roots = extended(roots, checked(apart(stars, roots), "star"))
+    roots = join_up(checked(best, "best"))
+    roots = widen(roots, checked(apart(stars, roots), "star"))
 
     rooted = members.join(roots, members["set_id"] == roots["node"], "left").select("key", "set_id", "low", F.coalesce("root", "set_id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    left = stored(rooted.join(mixed, "key").select("key", "set_id", "low"), "left-over")
-    crowds = connected(left.select(F.col("set_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("set_id"), F.col("root").alias("grp"))
+    left = put(rooted.join(mixed, "key").select("key", "set_id", "low"), "left-over")
+    crowds = join_up(left.select(F.col("set_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("set_id"), F.col("root").alias("grp"))
     crowd = left.select("set_id").distinct().join(crowds, "set_id", "left").select("set_id", F.coalesce("grp", "set_id").alias("grp"))
-    sets = stored(crowd_sets(stored(crowd, "crowds"), reps, docs, shingle), "crowd-sets")
-    early = stored(prefixes(sets, percent), "prefixes")
+    sets = put(crowd_sets(put(crowd, "crowds"), reps, docs, shingle), "crowd-sets")
+    early = put(prefixes(sets, percent), "prefixes")
 
     def checked_sets(pairs: DataFrame, name: str) -> DataFrame:
-        survivors = stored(likely(pairs, reps, percent), f"{name}-likely")
-        return stored(confirmed_sets(survivors, sets, percent), f"{name}-links")
+        survivors = put(likely(pairs, reps, percent), f"{name}-likely")
+        return put(confirmed_sets(survivors, sets, percent), f"{name}-links")
 
     rare = left.select("key", "set_id").join(early.filter("pos = 0").select("set_id", "rarity"), "set_id")
     plain = rare.groupBy("key").agg(F.min(F.struct("rarity", "set_id"))["set_id"].alias("b"))
-    roots = extended(roots, checked_sets(apart(rare.select("key", F.col("set_id").alias("a")).join(plain, "key").select("a", "b"), roots), "plain"))
+    roots = widen(roots, checked_sets(apart(rare.select("key", F.col("set_id").alias("a")).join(plain, "key").select("a", "b"), roots), "plain"))
     placed = sets.select("set_id", "grp").join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "grp", F.coalesce("root", "set_id").alias("root"))
-    rest = prefix_pairs(early, stored(placed, "placed"), percent)
-    roots = extended(roots, checked_sets(rest, "rest"))
+    rest = prefix_pairs(early, put(placed, "placed"), percent)
+    roots = widen(roots, checked_sets(rest, "rest"))
 
     owned = reps.select("set_id", "doc_id").join(roots, reps["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     named = owned.join(owned.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set_id", "component_id")

@@ -4,6 +4,7 @@ Every stage takes what its predecessor kept, as Parquet in the cluster's shared
 documents; the last writes the token file and returns doc_id, start, n_tokens and ids_crc32 as read back from it.
 
 A stage's result is written before the next stage begins; what a stage wrote on the way is deleted then, unless the next one reads it.
+Where shuffles have far more parts than the documents, it comes in as many as these.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bidloom.llm import decontaminate, mixing, near_dup, quality, token_file
 from bidloom.llm.catalog import vocabulary
-from bidloom.llm.common import drop_tables, recorded, stored, table
+from bidloom.llm.common import drop_tables, merged, most_tasks, recorded, stored, table
 from bidloom.session import scratch_dir
 
 
@@ -31,7 +32,7 @@ def stage(run: Stage) -> Stage:
         with recorded() as paths:
             result = run(spark, docs, sf_dir)
         _WRITTEN.setdefault(run.__name__, []).extend(paths)
-        return result
+        return merged(result, most_tasks(spark, docs.rdd.getNumPartitions()))
 
     return cleaned
 

@@ -11,8 +11,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bidloom.llm import mixing, quality
+from bidloom.llm import mixing, near_dup, quality
 from bidloom.llm.catalog import vocabulary
+from bidloom.llm.common import recorded
 from bidloom.session import ensure_checkpoint_dir
 
 from test_operators import components_of
@@ -72,3 +73,27 @@ def test_stages_keep_the_columns(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "benchmark decontamination", "source mixing", "token output"]
     for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[3]):
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_files_follow_the_documents_not_the_shuffle(spark):
+    rows, _ = texts()
+    rows += [(1000 + i, f"{t} {i}", s) for i, t, s in rows[:52]]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    most = 2 * spark.sparkContext.defaultParallelism
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        with recorded() as paths:
+            got = near_dup.near_groups(docs).collect()
+        files = {path.rsplit("/", 1)[-1]: len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) for path in paths}
+        stages = dict(corpus_pipeline.STAGES)
+        parts = {name: stages[name](spark, docs, "").rdd.getNumPartitions() for name in ("near duplicates", "source mixing")}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 15 and max(files.values()) <= most, files
+    assert max(parts.values()) <= most, parts
+    lead = components_of(rows, 5)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["n_shingles"]} == {i: lead[i][1] for i, t, _ in rows if lead[i][0]}
